@@ -77,7 +77,8 @@ def _near(a: str, b: str, radius: int) -> Column:
 def near_components(prints: DataFrame, radius: int = 4, split_at: int = 256) -> DataFrame:
     """(fp, component) of the distinct values of ``prints.fp`` that have a near other; component is a label."""
     masks = covering_masks(radius)
-    fps = cut(prints.select("fp").distinct())
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = cut(prints.select("fp").distinct().repartition(parts, "fp"))  # they are about to become one row for each table
     rows = fps.select("fp", F.explode(_tables(masks, F.col("fp"))).alias("x")).select("x.t", "x.k", "fp")
     full = rows.groupBy("t", "k").agg(F.min("fp").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     rows = cut(rows.join(full, ["t", "k"]).select("t", "k", "fp", "pivot", "members"))
