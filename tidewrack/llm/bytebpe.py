@@ -26,19 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.arrow import bound_batches
-from tidewrack.llm.pieces import LETTERS, NUMBERS, PieceEncoder
+from tidewrack.llm.pieces import LETTERS, NUMBERS, PieceEncoder, byte_characters
 
 #: The pieces of a plain text, as the pattern of the public tokenizers finds them.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\t\n\r {LETTERS}{NUMBERS}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
 
 
-def byte_characters() -> list[str]:
-    """The character of each byte: printable ones stand for themselves, the others for U+0100 and on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
 @functools.cache
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:

@@ -8,48 +8,74 @@ library's could differ, the library encodes the whole text.
 
 from __future__ import annotations
 
+import array
 import os
 import re
 
 import numpy as np
 
 #: Pieces that are remembered, and the longest of them; above, all are forgotten and met anew.
-KEPT_PIECES, KEPT_CHARS = 800_000, 64
+KEPT_PIECES, KEPT_CHARS = 300_000, 64
 
 #: Characters of texts that are cut here: ASCII and Latin letters, whose classes and case pairs are settled. Not
 #: among them: control characters, U+0085, U+00A0, U+00AD and U+0130, and all from U+0180 on.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]*")
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
+#: White space of other kinds than single spaces and single line ends.
+OTHER_SPACE = re.compile("[ \n][ \n]|[\t\r]")
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
 
-class Pieces(dict):
-    """piece -> ids as little-endian unsigned 32-bit integers."""
+def byte_characters() -> list[str]:
+    """The character of each byte: printable ones stand for themselves, the others for U+0100 and on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
-    def __init__(self, tokenizer):
+
+def _shown() -> dict[int, str]:
+    """For translate(): the characters of a plain character's bytes."""
+    of = byte_characters()
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(0x180)}
+
+
+SHOWN = _shown()
+
+
+class Kept(dict):
+    """text -> ids as little-endian unsigned 32-bit integers, by ``ids_of`` where not remembered."""
+
+    def __init__(self, ids_of):
         super().__init__()
-        self.encode = tokenizer.encode
-        self.held = 0
+        self.ids_of = ids_of
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= KEPT_CHARS:
-            if self.held >= KEPT_PIECES:
+    def __missing__(self, text: str) -> bytes:
+        ids = self.ids_of(text)
+        if len(text) <= KEPT_CHARS:
+            if len(self) >= KEPT_PIECES:
                 self.clear()
-                self.held = 0
-            self[piece] = ids
-            self.held += 1
+            self[text] = ids
         return ids
 
 
 class PieceEncoder:
-    """ids of whole texts. ``pattern`` finds the pieces of a plain text, after ``prepare``."""
+    """ids of whole texts. ``pattern`` finds the pieces of a plain text, after ``prepare``.
+
+    White space parts pieces in every pattern. If it is ``kept``, a single space starts the piece after it and a
+    single line end is a piece, so texts whose white space is of these two kinds are cut there; if not, all
+    plain texts are cut at white space. What lies between is remembered as well as the pieces.
+    """
 
-    def __init__(self, tokenizer, pattern: str, prepare=None):
+    def __init__(self, tokenizer, pattern: str, prepare=None, kept: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         tokenizer.encode_special_tokens = True
-        self.tokenizer, self.prepare = tokenizer, prepare or (lambda t: t)
-        self.find, self.pieces = re.compile(pattern).findall, Pieces(tokenizer)
+        self.tokenizer, self.prepare, self.kept = tokenizer, prepare or (lambda t: t), kept
+        self.model = tokenizer.model.tokenize
+        self.find = re.compile(pattern).findall
+        self.pieces = Kept(self._by_model)
+        self.words = Kept(self._by_pieces)
+        self.spaced = Kept(lambda w: self._by_pieces(" " + w))
+        self.line_end = self._encoded("\n") if kept else b""
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids; none of a null or empty text."""
@@ -57,7 +83,22 @@ class PieceEncoder:
             return b""
         if PLAIN.fullmatch(text) is None:
             return b"".join(self._by_library(text))
-        return b"".join(map(self.pieces.__getitem__, self.find(self.prepare(text))))
+        text = self.prepare(text)
+        if not self.kept:
+            return b"".join(map(self.words.__getitem__, text.split()))
+        if OTHER_SPACE.search(text):
+            return self._by_pieces(text)
+        return self.line_end.join(map(self._line, text.split("\n")))
+
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return self.words[first] + b"".join(map(self.spaced.__getitem__, rest))
+
+    def _by_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def _by_model(self, piece: str) -> bytes:
+        return array.array("I", [t.id for t in self.model(piece.translate(SHOWN))]).tobytes()
 
     def _by_library(self, text: str):
         """The library holds much for each token, so a long text goes in parts, cut at a space between letters."""

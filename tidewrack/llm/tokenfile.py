@@ -48,7 +48,7 @@ PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t\
 def encoder(path: str) -> PieceEncoder:
     from tokenizers import Tokenizer
 
-    return PieceEncoder(Tokenizer.from_file(path), PIECE, str.lower)
+    return PieceEncoder(Tokenizer.from_file(path), PIECE, str.lower, kept=False)
 
 
 def coded(numbers: np.ndarray) -> tuple[bytes, bytes]:
