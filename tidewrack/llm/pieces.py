@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Pieces that are remembered, and the longest of them; above, all are forgotten and met anew.
-KEPT_PIECES, KEPT_CHARS = 300_000, 64
+KEPT_PIECES, KEPT_CHARS = 500_000, 64
 
 #: Characters of texts that are cut here: ASCII and Latin letters, whose classes and case pairs are settled. Not
 #: among them: control characters, U+0085, U+00A0, U+00AD and U+0130, and all from U+0180 on.
@@ -72,7 +72,6 @@ class PieceEncoder:
         self.tokenizer, self.prepare, self.kept = tokenizer, prepare or (lambda t: t), kept
         self.model = tokenizer.model.tokenize
         self.find = re.compile(pattern).findall
-        self.pieces = Kept(self._by_model)
         self.words = Kept(self._by_pieces)
         self.spaced = Kept(lambda w: self._by_pieces(" " + w))
         self.line_end = self._encoded("\n") if kept else b""
@@ -95,7 +94,8 @@ class PieceEncoder:
         return self.words[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def _by_pieces(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        parts = self.find(text)
+        return self._by_model(parts[0]) if len(parts) == 1 else b"".join(map(self.words.__getitem__, parts))
 
     def _by_model(self, piece: str) -> bytes:
         return array.array("I", [t.id for t in self.model(piece.translate(SHOWN))]).tobytes()
