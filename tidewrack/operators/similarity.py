@@ -25,8 +25,11 @@ def units(docs: DataFrame) -> DataFrame:
 def signatures(of: DataFrame) -> DataFrame:
     """(doc_id, sig array<bigint>): the least of (a x + b) mod p over the statements' hashes x, for each slot."""
     hashed = of.select("doc_id", F.transform("lines", lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("bigint")).alias("x"))
-    slots = (F.array_min(F.transform("x", lambda v, a=a, b=b: (v * F.lit(a) + F.lit(b)) % F.lit(MODULUS))) for a, b in COEFFICIENTS)
-    return hashed.select("doc_id", F.array(*slots).alias("sig"))
+
+    def slot(a: int, b: int):
+        return F.array_min(F.transform("x", lambda v: (v * F.lit(a) + F.lit(b)) % F.lit(MODULUS)))
+
+    return hashed.select("doc_id", F.array(*(slot(a, b) for a, b in COEFFICIENTS)).alias("sig"))
 
 
 def candidate_pairs(sigs: DataFrame, max_bucket: int = 50) -> DataFrame:
