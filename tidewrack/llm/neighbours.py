@@ -296,9 +296,9 @@ class NeighbourIndex:
             return self.spark.createDataFrame([], out)
         members = self.nodes.select("id", F.explode("ids").alias("vec_id"))
         entry = cut(self._entries(queries, members))
-        state = self._first(entry, width)
+        state, entries = self._first(entry)
         for hop in range(hops):
-            state = cut(self._hop(state, width, expand, last=hop == hops - 1))
+            state = cut(self._hop(state, width, expand, entries if hop == 0 else None, last=hop == hops - 1))
         return self._scored(state, entry, results)
 
     def _entries(self, queries: DataFrame, members: DataFrame) -> DataFrame:
@@ -308,27 +308,39 @@ class NeighbourIndex:
         )
         return by_vec.select("query_id", F.col("id").alias("node")).distinct()
 
+    #: Nodes of the longest vectors, where every search also starts: large inner products are mostly theirs.
+    ENTRIES = 16
     STATE = "node long, query_code binary, kept binary, seen binary"
 
-    def _first(self, entry: DataFrame, width: int) -> DataFrame:
-        """One search for each distinct query vector: (node, query_code, kept, seen), itself kept, not expanded."""
-        nodes = entry.select("node").distinct()
+    def _first(self, entry: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """One search for each distinct query vector: (node, query_code, kept, seen), itself kept, not expanded.
+
+        A query's code has its own scale and an extra component of zero, so its similarity to a code orders as the
+        inner product does.
+        """
+        long = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+        longest = np.array([r.id for r in self.nodes.orderBy(long.desc(), "id").limit(self.ENTRIES).collect()], np.int64)
 
         def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids = b.column(0).to_numpy()
-                kept = []
-                for i in ids:
-                    e = np.zeros(1, NEIGHBOUR)
-                    e["id"], e["sim"], e["new"] = i, 2, 1
-                    kept.append(e.tobytes())
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array([i.tobytes() for i in ids], pa.binary())], ["node", "query_code", "kept", "seen"])
+                cols = []
+                for i, vec in zip(b.column(0).to_pylist(), b.column(1)):
+                    q = vec.values.to_numpy()
+                    scale = np.abs(q).max() / 127
+                    code = np.float32(1 / 127).tobytes() + np.round(q / scale).astype("i1").tobytes() + b"\0"
+                    first = np.concatenate([[i], longest[longest != i]])
+                    e = np.zeros(len(first), NEIGHBOUR)
+                    e["id"], e["sim"], e["new"] = first, 1e30, 1
+                    cols.append((i, code, e.tobytes(), first.astype("<i8").tobytes()))
+                cols = list(zip(*cols)) if cols else [[]] * 4
+                yield pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["node", "query_code", "kept", "seen"])
 
-        rows = nodes.join(self.codes, nodes.node == self.codes.id).select("node", F.col("code").alias("query_code"))
-        return rows.mapInArrow(start, self.STATE)
+        nodes = entry.select("node").distinct()
+        rows = nodes.join(self.nodes, nodes.node == self.nodes.id).where(F.size("vec") == self.dims).select("node", "vec")
+        return rows.mapInArrow(start, self.STATE), longest
 
-    def _hop(self, state: DataFrame, width: int, expand: int, last: bool) -> DataFrame:
-        size = self.width
+    def _hop(self, state: DataFrame, width: int, expand: int, entries: np.ndarray | None, last: bool) -> DataFrame:
+        size, first = self.width, entries is not None
 
         def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """(node, at): what each search expands now."""
@@ -353,7 +365,7 @@ class NeighbourIndex:
             for a, b in zip(bounds[:-1], bounds[1:]):
                 got = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), NEIGHBOUR)["id"] for x in lists[a:b] if x.is_valid] or [np.zeros(0, np.int64)]))
                 old = [np.frombuffer(x.as_buffer(), "<i8") for x in seen[a:b] if x.is_valid]
-                got = np.setdiff1d(got, np.concatenate(old or [np.zeros(0, np.int64)]), assume_unique=False)
+                got = np.union1d(got, np.append(entries, node[a])) if first else np.setdiff1d(got, np.concatenate(old or [np.zeros(0, np.int64)]))
                 nodes.append(np.full(len(got), node[a]))
                 found.append(got)
             cat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
@@ -374,6 +386,7 @@ class NeighbourIndex:
                 rows = a + np.flatnonzero(~is_state[a:b])
                 old = np.frombuffer(olds[s].as_buffer(), NEIGHBOUR).copy()
                 old["new"][np.flatnonzero(old["new"])[:expand]] = 0
+                old = old[old["sim"] < 1e30]  # what the search starts from is offered again, with its similarity
                 q = _vectors(qs.slice(s, 1), size)[0]
                 e = np.zeros(len(rows), NEIGHBOUR)
                 if len(rows):
