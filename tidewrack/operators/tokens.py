@@ -66,15 +66,45 @@ def norm_kind_counts(docs: DataFrame, ignore_identifiers: bool = False) -> DataF
     return t.groupBy(kind.alias("norm_kind")).agg(F.count("*").alias("n"))
 
 
+def _window_hashes(rows: DataFrame, name: str, k: int) -> DataFrame:
+    """Column ``name``, an array of hashes, made the hashes of its windows of ``k``.
+
+    Windows of 1, 2, 4, ... are joined by pairs, so a window costs log k steps, not k. Each step is a column of
+    its own: inlined into the next, it would be computed twice.
+    """
+    out, width, rest = None, 1, k
+    here = name
+    while rest:
+        if rest & 1:
+            out = (here, width) if out is None else _joined(rows, here, width, *out)
+            if len(out) == 3:
+                rows, out = out[0], out[1:]
+        rest >>= 1
+        if rest:
+            rows, here, width = _joined(rows, here, width, here, width)
+    return rows.withColumn(name, F.col(out[0]))
+
+
+def _joined(rows: DataFrame, a: str, width_a: int, b: str, width_b: int) -> tuple[DataFrame, str, int]:
+    """The hashes of each window of ``a`` and the window of ``b`` right after it."""
+    n = F.greatest(F.size(b) - width_a, F.lit(0))
+    name = f"_{a}_{b}_{width_a + width_b}"[-60:]
+    pair = F.zip_with(F.slice(a, 1, n), F.slice(b, width_a + 1, n), lambda x, y: F.xxhash64(x, y))
+    return rows.withColumn(name, pair), name, width_a + width_b
+
+
 def kgrams(docs: DataFrame, k: int, key: str = "doc_id", ignore_literals: bool = True) -> DataFrame:
-    """(key, pos, h1, h2) of every full window of ``k`` tokens; texts under ``k`` tokens give none."""
-    toks = F.transform(token_array(F.col("text")), lambda t: F.xxhash64(normalized(t, ignore_literals)))
-    rows = docs.select(F.col(key), toks.alias("_t")).where(F.size("_t") >= k)
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size("_t") - (k - 1)),
-        lambda i: F.struct(F.xxhash64(F.slice("_t", i, k)).alias("h1"), F.hash(F.slice("_t", i, k)).alias("h2")),
-    )
-    return rows.select(F.col(key), F.posexplode(windows).alias("pos", "w")).select(key, "pos", "w.h1", "w.h2")
+    """(key, pos, h1, h2) of every full window of ``k`` tokens; texts under ``k`` tokens give none.
+
+    Two hashes of 64 bits from different hashes of the tokens stand for the window.
+    """
+    norm = F.transform(token_array(F.col("text")), lambda t: normalized(t, ignore_literals))
+    rows = docs.select(F.col(key), norm.alias("_t")).where(F.size("_t") >= k)
+    rows = rows.withColumn("h1", F.transform("_t", lambda t: F.xxhash64(t))).withColumn("h2", F.transform("_t", lambda t: F.xxhash64(F.lit("2"), t)))
+    for name in ("h1", "h2"):
+        rows = _window_hashes(rows, name, k)
+    rows = rows.select(key, F.posexplode(F.arrays_zip("h1", "h2")).alias("pos", "w"))
+    return rows.select(key, "pos", "w.h1", "w.h2")
 
 
 def bucket_sizes(grams: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,6 +20,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    """One of the Parquet tables below ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Tables of texts, whose rows cost much more to work on than to move.
+TEXTS = ("documents", "pages")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the Parquet tables below ``sf_dir``; texts that come in fewer parts than there are cores are dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
