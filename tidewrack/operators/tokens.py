@@ -99,7 +99,12 @@ def kgrams(docs: DataFrame, k: int, key: str = "doc_id", ignore_literals: bool =
     Two hashes of 64 bits from different hashes of the tokens stand for the window.
     """
     norm = F.transform(token_array(F.col("text")), lambda t: normalized(t, ignore_literals))
-    rows = docs.select(F.col(key), norm.alias("_t")).where(F.size("_t") >= k)
+    return array_kgrams(docs.select(F.col(key), norm.alias("_t")), k, key)
+
+
+def array_kgrams(rows: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """The k-grams of ``rows`` (key, _t), texts as arrays of compared tokens."""
+    rows = rows.where(F.size("_t") >= k)
     rows = rows.withColumn("h1", F.transform("_t", lambda t: F.xxhash64(t))).withColumn("h2", F.transform("_t", lambda t: F.xxhash64(F.lit("2"), t)))
     for name in ("h1", "h2"):
         rows = _window_hashes(rows, name, k)
