@@ -14,6 +14,7 @@ equal texts share one blob; an empty input gives empty results. Other columns of
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -172,10 +173,13 @@ def secret_spans(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
 def redact(docs: DataFrame, ledger_path: str | None = None, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` and n_chars, if there, kept true; no row goes.
 
-    Overlapping or touching spans are replaced together.
+    Overlapping or touching spans are replaced together. Rows in which no pattern occurs pass through as they
+    are; only the others are scanned, and joined with the places.
     """
     spark = docs.sparkSession
     ledger = BlobLedger(spark, ledger_path or work_dir(spark, "secrets"))
+    occurs = F.coalesce(reduce(Column.__or__, (F.col("text").rlike(r.pattern) for r in RULES)), F.lit(False))
+    clean, docs = docs.where(~occurs), docs.where(occurs)
     ledger.scan(docs)
     before = Window.partitionBy("blob").orderBy("start", "end")
     reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
@@ -197,7 +201,7 @@ def redact(docs: DataFrame, ledger_path: str | None = None, mark: str = "[secret
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return clean.union(out.select(*docs.columns))
 
 
 def oracle_sql() -> str:
