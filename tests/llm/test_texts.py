@@ -215,7 +215,7 @@ def test_near_components_of_dense_groups(spark, split_at):
     prints = [c ^ sum(1 << b for b in r.sample(range(0, 64, 3), r.randrange(7))) for c in centres for _ in range(40)]
     prints = list(dict.fromkeys(prints + [r.getrandbits(64) for _ in range(50)]))
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    got = {x.fp: x.component for x in simhash.near_components(spark.createDataFrame(signed, "fp long"), split_at=split_at).collect()}
+    got = {x.v: x.component for x in simhash.near_components(spark.createDataFrame(signed, "fp long"), split_at=split_at).collect()}
     want = plain_components(prints)
     label = {}
     for (p,), w in zip(signed, want):
@@ -248,6 +248,34 @@ def test_fingerprint_definition():
         assert simhash.fingerprint_of(t) == want
 
 
+def test_near_groups_as_brute_force(spark, none):
+    r = random.Random(11)
+    texts = []
+    for i in range(25):
+        words = prose(500 + i, r.choice([3, 40, 150])).split()
+        for _ in range(4):
+            texts.append(" ".join(words))
+            words[r.randrange(len(words))] = "other"
+    seeds = (42, 43, 44)
+    prints = [simhash.fingerprints_of(t, 5, seeds) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if any((x ^ y).bit_count() <= 4 for x, y in zip(prints[a], prints[b])):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.component_id for x in simhash.near_groups(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert simhash.near_groups(none).count() == 0
+
+
 def test_keep_first(spark, odd):
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns

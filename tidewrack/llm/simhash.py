@@ -32,17 +32,23 @@ from tidewrack.plans.lineage import cut
 BLOCK = 1 << 16
 
 
-def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The unsigned fingerprint: a bit is 1 if set in over half of the shingles' hashes, repeats included."""
+def fingerprints_of(text: str | None, words: int, seeds: tuple[int, ...]) -> list[int]:
+    """The unsigned fingerprint by each seed: a bit is 1 if set in over half of the shingles' hashes, repeats included."""
     w = (text or "").encode().lower().split()  # of bytes: only A-Z change, and only ASCII white space parts
     if not w:
-        return 0
-    n, ones = max(1, len(w) - words + 1), np.zeros(64, np.int64)
+        return [0] * len(seeds)
+    n, ones = max(1, len(w) - words + 1), np.zeros((len(seeds), 64), np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for at in range(0, n, BLOCK):
-        h = np.fromiter((digest(join(w[i : i + words]), seed) for i in range(at, min(n, at + BLOCK))), "<u8")
-        ones += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n).astype("u1"), bitorder="little").view("<u8")[0])
+        shingles = [join(w[i : i + words]) for i in range(at, min(n, at + BLOCK))]
+        for k, seed in enumerate(seeds):
+            h = np.fromiter((digest(s, seed) for s in shingles), "<u8", len(shingles))
+            ones[k] += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits((2 * ones > n).astype("u1"), axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
+    return fingerprints_of(text, words, (seed,))[0]
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -74,47 +80,84 @@ def _near(a: str, b: str, radius: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def near_components(prints: DataFrame, radius: int = 4, split_at: int = 256) -> DataFrame:
-    """(fp, component) of the distinct values of ``prints.fp`` that have a near other; component is a label."""
+def near_components(prints: DataFrame, radius: int = 4, split_at: int = 256, within: DataFrame | None = None) -> DataFrame:
+    """(v, component) of the distinct values of ``prints.fp`` that have a near other; component is a label.
+
+    ``v`` is the fingerprint. With ``within``, edges (a, b) between vertices that belong together, fingerprints are
+    of several seeds: ``prints`` has ``seed`` too, only those of one seed are compared, and v hashes both.
+    """
     masks = covering_masks(radius)
+    vertex = (lambda fp: F.xxhash64("seed", fp)) if within is not None else F.col
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fps = cut(prints.select("fp").distinct().repartition(parts, "fp"))  # they are about to become one row for each table
-    rows = fps.select("fp", F.explode(_tables(masks, F.col("fp"))).alias("x")).select("x.t", "x.k", "fp")
-    full = rows.groupBy("t", "k").agg(F.min("fp").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    rows = cut(rows.join(full, ["t", "k"]).select("t", "k", "fp", "pivot", "members"))
-    star = rows.where((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", radius)).select("fp", "pivot")
-    label = connected_components(star, "fp", "pivot").select(F.col("node").alias("fp"), "component")
-
-    rows = rows.join(label, "fp", "left").select("t", "k", "fp", "members", F.coalesce("component", "fp").alias("c"))
-    mixed = rows.groupBy("t", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("t", "k")
-    rows = cut(rows.join(mixed, ["t", "k"]))
+    seed = F.col("seed") if within is not None else F.lit(0).alias("seed")
+    fps = cut(prints.select(seed, "fp").distinct().repartition(parts, "fp"))  # they are about to become one row for each table
+    key = ["seed", "t", "k"]
+    rows = fps.select("seed", "fp", F.explode(_tables(masks, F.col("fp"))).alias("x")).select("seed", "x.t", "x.k", "fp")
+    full = rows.groupBy(*key).agg(F.min("fp").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    rows = cut(rows.join(full, key).select(*key, "fp", "pivot", "members"))
+    star = rows.where((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", radius)).select(vertex("fp").alias("a"), vertex("pivot").alias("b"))
+    label = connected_components(star if within is None else star.union(within), "a", "b").select(F.col("node").alias("v"), "component")
+
+    rows = rows.withColumn("v", vertex("fp")).join(label, "v", "left").select(*key, "fp", "members", F.coalesce("component", "v").alias("c"))
+    mixed = rows.groupBy(*key).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(*key)
+    rows = cut(rows.join(mixed, key))
     mask_of = F.element_at(F.array(*map(F.lit, masks)), F.col("t") + 1)
     fine = F.when(F.col("members") > split_at, _tables(covering_masks(radius, shift=7), F.col("fp"), mask_of)).otherwise(
         F.array(F.struct(F.lit(-1).alias("t"), F.lit(0).cast("long").alias("k")))
     )
-    rows = rows.select("t", "k", "fp", "c", F.explode(fine).alias("x")).select("t", "k", F.col("x.t").alias("t2"), F.col("x.k").alias("k2"), "fp", "c")
-    other = rows.select("t", "k", "t2", "k2", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    pairs = rows.join(other, ["t", "k", "t2", "k2"]).where((F.col("c") < F.col("c2")) & _near("fp", "fp2", radius))
+    rows = rows.select(*key, "fp", "c", F.explode(fine).alias("x")).select(*key, F.col("x.t").alias("t2"), F.col("x.k").alias("k2"), "fp", "c")
+    other = rows.select(*key, "t2", "k2", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
+    pairs = rows.join(other, [*key, "t2", "k2"]).where((F.col("c") < F.col("c2")) & _near("fp", "fp2", radius))
     between = connected_components(pairs.select("c", "c2").distinct(), "c", "c2").withColumnRenamed("component", "last")
 
-    # a fingerprint is touched by a star, or stands alone and is touched by an exact pair
-    joined = label.join(between, label.component == between.node, "left").select("fp", F.coalesce("last", "component").alias("component"))
-    single = between.join(label, between.node == label.fp, "left_anti").join(fps, F.col("node") == fps.fp, "left_semi")
-    return joined.union(single.select(F.col("node").alias("fp"), F.col("last").alias("component")))
+    # a vertex is touched by a star, or stands alone and is touched by an exact pair
+    joined = label.join(between, label.component == between.node, "left").select("v", F.coalesce("last", "component").alias("component"))
+    single = between.join(label, between.node == label.v, "left_anti")
+    return joined.union(single.select(F.col("node").alias("v"), F.col("last").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """(doc_id, fingerprint hex, component_id) of every row; component_id is the smallest doc_id reachable."""
     prints = cut(fingerprints(docs, words))
     low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    label = low.join(near_components(prints, radius), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
+    label = low.join(near_components(prints, radius).withColumnRenamed("v", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
     least = label.groupBy("c").agg(F.min("low").alias("component_id"))
     of = label.join(least, "c").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id (any one, if rows repeat it)."""
+def near_groups(docs: DataFrame, words: int = 5, radius: int = 4, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+    """(doc_id, component_id) of every row; documents are linked that any of several fingerprints puts near.
+
+    Two texts that share four fifths of their shingles differ in some ten bits of 64, which no set of tables of a
+    bearable size covers. Fingerprints by other seeds differ independently, so of several some are near, and
+    far texts stay as far as before.
+    """
+    bound_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<long>")
+    def fps(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(fingerprints_of(t, words, seeds), "u8").view("i8") for t in texts])
+
+    prints = cut(docs.select("doc_id", fps("text").alias("fps")))
+    nodes = cut(prints.groupBy("fps").agg(F.min("doc_id").alias("low")))
+    vertex = lambda k: F.xxhash64(F.lit(k), F.col("fps")[k])
+    each = nodes.select(F.posexplode("fps").alias("seed", "fp"))
+    others = F.explode(F.array(*map(vertex, range(1, len(seeds))))) if len(seeds) > 1 else vertex(0)
+    label = near_components(each, radius, within=nodes.select(vertex(0).alias("a"), others.alias("b")))
+    grouped = nodes.withColumn("v", vertex(0)).join(label, "v", "left").select("fps", "low", F.coalesce("component", "v").alias("g"))
+    least = grouped.groupBy("g").agg(F.min("low").alias("component_id"))
+    return prints.join(grouped.join(least, "g").select("fps", "component_id"), "fps").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each near group: that of the smallest doc_id (any one, if rows repeat it).
+
+    Rows without doc_id count as one document.
+    """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    first = near_duplicates(docs, radius, words).where("doc_id <=> component_id").select(key.alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    first = near_groups(docs).where("doc_id <=> component_id").select(key.alias("_first")).distinct()
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(key.alias("_k"), *(F.col(c).alias(n) for c, n in zip(docs.columns, names)))
+    kept = rows.join(first, rows["_k"] == first["_first"], "left_semi").dropDuplicates(["_k"])
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
