@@ -80,3 +80,56 @@ def complexity_text(scores: list[dict], threshold: int = 0) -> str:
     shown = [r for r in scores if r["score"] >= threshold]
     width = max((len(str(r["score"])) for r in shown), default=1)
     return "\n".join(f"{str(r['score']).rjust(width)}  {r['name']}  {r['path']}:{r['start_line']}-{r['end_line']}" for r in shown)
+
+
+#: Names of a reachability report's counts, with older spellings that are still read.
+REACH_COUNTS = {
+    "pureUndead": ("pureUndead", "pureUndeads"), "testedUndead": ("testedUndead", "testedUndeads"),
+    "coInvokedHazard": ("coInvokedHazards",), "privateCandidate": ("privateCandidates", "privateCandidate"),
+}
+
+
+def reach_json(report, package: str, version: str = "1") -> str:
+    """Findings in the order of file, line and column, each with the tests that would be orphans."""
+    sites: dict = {}
+    for r in rows(report.orphan_sites, ["path", "line", "column"]):
+        one = {"file": r["path"], "line": r["line"], "column": r["column"], "description": r["description"], "coInvokedHazard": r["hazard"]}
+        sites.setdefault(r["id"], []).append({k: v for k, v in one.items() if v is not None})
+    listed = []
+    for r in rows(report.findings, ["path", "line", "column", "id"]):
+        one = {"id": r["name"], "name": r["name"], "kind": r["kind"], "file": r["path"], "line": r["line"], "column": r["column"], "length": r["length"]}
+        one |= {"classification": r["classification"], "suggestedAction": r["action"]}
+        if r["is_external_binding"]:
+            one["isExternalBinding"] = True
+        if r["id"] in sites:
+            one["orphanTests"] = sites[r["id"]]
+        listed.append(one)
+    s = report.summary.first()
+    summary = {"totalDeclarations": s.total_declarations} | {names[0]: s[k] for k, names in REACH_COUNTS.items()}
+    return json.dumps({"version": version, "package": package, "summary": summary, "undead": listed}, indent=2, ensure_ascii=False)
+
+
+def read_reach_json(text: str) -> dict:
+    """A report of above, also with older names of counts; missing optional keys get their defaults."""
+    x = json.loads(text)
+    s = x["summary"]
+    counts = {k: next((s[n] for n in names if n in s), 0) for k, names in REACH_COUNTS.items()}
+    found = []
+    for f in x.get("undead") or []:
+        if f["classification"] not in REACH_COUNTS:
+            raise ValueError(f"unknown classification {f['classification']}")
+        external = f.get("isExternalBinding", f.get("isExternalJsInterop", False))
+        found.append({**f, "isExternalBinding": external, "orphanTests": [{"description": None, "coInvokedHazard": False} | t for t in f.get("orphanTests") or []]})
+    return {"version": x["version"], "package": x["package"], "totalDeclarations": s["totalDeclarations"], **counts, "findings": found}
+
+
+def reach_markdown(report) -> str:
+    """A table of counts, and one of each classification that occurs."""
+    s = report.summary.first().asDict()
+    parts = [markdown("Declarations", list(s), [list(s.values())])]
+    found = rows(report.findings, ["path", "line", "column", "id"])
+    for kind in REACH_COUNTS:
+        body = [[f["name"], f["kind"], f"{f['path']}:{f['line']}:{f['column']}", f["action"]] for f in found if f["classification"] == kind]
+        if body:
+            parts.append(markdown(kind, ["name", "kind", "place", "action"], body))
+    return "\n".join(parts)
