@@ -175,6 +175,9 @@ def test_redaction(spark, odd):
     assert rows[5].text == SECRETS[5] and rows[11].text is None and rows[10].text == ""
     assert rows[2].text == "[secret]'"
     assert rows[4].text == "é🙂 [secret]"
+    clash = secret_docs(spark).selectExpr("*", "7 as _blob", "'c' as _CUTS")
+    again = {r.doc_id: r for r in secrets.redact(clash).collect()}
+    assert {(r.text, r._blob, r._CUTS) for r in again.values()} == {(r.text, 7, "c") for r in rows.values()}
     back = secrets.redact(odd)
     assert back.columns == odd.columns and back.count() == len(ODD)
 

@@ -170,13 +170,22 @@ def secret_spans(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     )
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def redact(docs: DataFrame, ledger_path: str | None = None, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` and n_chars, if there, kept true; no row goes.
 
     Overlapping or touching spans are replaced together. Rows in which no pattern occurs pass through as they
     are; only the others are scanned, and joined with the places.
     """
-    spark = docs.sparkSession
+    spark, columns = docs.sparkSession, docs.columns
+    blob, cuts_ = _unused("_blob", columns), _unused("_cuts", columns)
     ledger = BlobLedger(spark, ledger_path or work_dir(spark, "secrets"))
     occurs = F.coalesce(reduce(Column.__or__, (F.col("text").rlike(r.pattern) for r in RULES)), F.lit(False))
     clean, docs = docs.where(~occurs), docs.where(occurs)
@@ -186,22 +195,22 @@ def redact(docs: DataFrame, ledger_path: str | None = None, mark: str = "[secret
     islands = ledger.findings().select("blob", "start", "end", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int").alias("opens"))
     islands = islands.withColumn("island", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("blob", "island").agg(F.min("start").alias("s"), F.max("end").alias("e"))
-    cuts = merged.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_cuts"))
-    joined = docs.withColumn("_blob", blob_id(F.col("text"))).join(cuts.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    cuts = merged.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias(cuts_))
+    joined = docs.withColumn(blob, blob_id(F.col("text"))).join(cuts.withColumnRenamed("blob", blob), blob, "left")
     last = F.array(F.struct(F.length("text").cast("long").alias("s"), F.lit(0).cast("long").alias("e")))
     parts = F.transform(
-        F.concat("_cuts", last),
+        F.concat(cuts_, last),
         lambda c, i: F.substring(
             F.col("text"),
-            (F.when(i > 0, F.get("_cuts", i - 1)["e"]).otherwise(F.lit(0)) + 1).cast("int"),
-            (c["s"] - F.when(i > 0, F.get("_cuts", i - 1)["e"]).otherwise(F.lit(0))).cast("int"),
+            (F.when(i > 0, F.get(cuts_, i - 1)["e"]).otherwise(F.lit(0)) + 1).cast("int"),
+            (c["s"] - F.when(i > 0, F.get(cuts_, i - 1)["e"]).otherwise(F.lit(0))).cast("int"),
         ),
     )
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(parts, mark))
+    text = F.when(F.col(cuts_).isNull(), F.col("text")).otherwise(F.array_join(parts, mark))
     out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return clean.union(out.select(*docs.columns))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col(cuts_).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return clean.union(out.select(*columns))
 
 
 def oracle_sql() -> str:
