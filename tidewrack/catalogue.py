@@ -178,7 +178,7 @@ SELECT item_id, doc_id, max(n) + {ITEM_K - 1} AS n_tokens FROM (SELECT item_id,
 )
 def benchmark_overlap(t):
     left, right = tokens.kgrams(t("benchmark"), ITEM_K, "item_id"), tokens.kgrams(t("documents"), ITEM_K)
-    return matching.overlaps(left, right, ITEM_K, CAP)
+    return matching.overlaps(left, right, ITEM_K)
 
 
 # similarity of statement sets

@@ -51,14 +51,15 @@ def maximal_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.join(q, same & (straight | turned), "left_anti")
 
 
-def overlaps(left: DataFrame, right: DataFrame, k: int, max_bucket: int = 50) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, k: int, salts: int = 16) -> DataFrame:
     """(item_id, doc_id, n_tokens): the longest equal run of each item and document that share one.
 
-    ``left`` are k-grams by item_id, ``right`` by doc_id; the cap counts occurrences in documents.
+    ``left`` are k-grams by item_id, a bounded side; ``right`` those of all texts by doc_id. None is too frequent:
+    each of ``left`` is there for every salt, so that the occurrences of a frequent one are dealt to ``salts`` keys.
     """
-    sizes = right.groupBy("h1", "h2").agg(F.count("*").alias("size")).where(F.col("size") <= max_bucket)
-    few = left.join(sizes, ["h1", "h2"]).withColumnRenamed("pos", "pos_a")
-    seeds = few.join(right.withColumnRenamed("pos", "pos_b"), ["h1", "h2"])
+    few = left.withColumnRenamed("pos", "pos_a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = right.withColumnRenamed("pos", "pos_b").withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos_b"), F.lit(salts)).cast("int"))
+    seeds = few.join(dealt, ["h1", "h2", "salt"])
     rows = seeds.select("item_id", "doc_id", (F.col("pos_b") - F.col("pos_a")).alias("diag"), "pos_a", F.lit(True).alias("seed"))
     runs = _islands(rows, k, ["item_id", "doc_id", "diag"])
     return runs.groupBy("item_id", "doc_id").agg(F.max("n_tokens").alias("n_tokens"))
