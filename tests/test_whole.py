@@ -12,3 +12,33 @@ def test_overlaps_of_frequent_passages(spark):
     grams = lambda rows, key: tokens.kgrams(rows, 10, key)
     got = matching.overlaps(grams(item, "item_id"), grams(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id"), 10)
     assert {tuple(r) for r in got.collect()} == {(1, d, 30 if d < 60 else 14) for d in range(130)}
+
+
+def test_slices_of_whole_logs(spark):
+    from tidewrack import catalogue
+    from tidewrack.operators import dataflow
+
+    n = 330
+    log = [(7, i, i, f"v{i * i % 11}", float(i * 37 % 100)) for i in range(1, n + 1)] + [(8, i, i, "v0", 80.0) for i in range(1, 4)]
+    frame = spark.createDataFrame(log, "user_id long, ts long, event_id long, event_type string, value double")
+    t = lambda name: frame
+    spans = {k: (20 * k + 5, 20 * k + 14) for k in range(17)}
+    assert {tuple(r) for r in catalogue._whole_slices(t).collect()} == {(7, k, a, b) for k, (a, b) in spans.items()}
+    var, write = {i: v for u, i, _, v, _ in log if u == 7}, {i: x >= 75 for u, i, _, _, x in log if u == 7}
+    first = {v: min(i for i in var if var[i] == v) for v in var.values()}
+    ins, outs, carried = set(), set(), set()
+    for k, (a, b) in spans.items():
+        for i in range(a, min(b, n) + 1):
+            v, loop = var[i], 60 * (k // 3)
+            if first[v] < a:
+                ins.add((7, k, v))
+            if (write[i] or first[v] >= a) and any(var[j] == v and not write[j] for j in range(b + 1, n + 1)):
+                outs.add((7, k, v))
+            if write[i] and k % 3 < 2 and first[v] < loop + 4 and any(var[j] == v and not write[j] for j in range(loop + 2, min(loop + 50, n) + 1)):
+                carried.add((7, k, v))
+    rows = lambda df: {(r.unit, r.slice, r.var) for r in df.collect()}
+    assert max(k for _, k, _ in ins) == 16
+    assert rows(dataflow.inputs(catalogue._log(t), catalogue._whole_slices(t))) == ins
+    assert rows(dataflow.outputs(catalogue._log(t), catalogue._whole_slices(t))) == outs
+    loops = spark.createDataFrame([(7, 60 * j + 2, 60 * j + 50, 60 * j + 4) for j in range(6)], "unit long, loop_first int, loop_last int, carry int")
+    assert rows(dataflow.outputs(catalogue._log(t), catalogue._whole_slices(t), loops)) == outs | carried

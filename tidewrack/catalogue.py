@@ -533,6 +533,60 @@ def slice_extractable(t):
     return dataflow.extractable(_slices(t), dataflow.escapes(_jumps(t), _slices(t)))
 
 
+# the same over whole logs: as many slices, and as many loops of three slices, as a log is long
+
+
+_WHOLE = """sl AS (SELECT unit, slice, slice * 20 + 5 AS first, slice * 20 + 14 AS last FROM (SELECT unit, n, unnest(range(0, n // 20 + 1)) AS slice FROM (SELECT unit, count(*) AS n FROM lg GROUP BY unit)) WHERE slice * 20 + 5 <= n)"""
+
+
+def _whole_sql(name: str) -> str:
+    return ORACLES[name].replace(_SLICE, _WHOLE)
+
+
+def _whole(t, step: int) -> DataFrame:
+    """(unit, n, i): for each user, i from 0 as often as ``step`` places begin in a log of n."""
+    n = t("events").groupBy(F.col("user_id").alias("unit")).agg(F.count("*").cast("int").alias("n"))
+    return n.select("unit", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / step).cast("int"))).alias("i"))
+
+
+def _whole_slices(t) -> DataFrame:
+    rows = _whole(t, 20).select("unit", "n", F.col("i").alias("slice"), (F.col("i") * 20 + 5).alias("first"), (F.col("i") * 20 + 14).alias("last"))
+    return rows.where("first <= n").drop("n")
+
+
+@query(_whole_sql("slice_inputs"))
+def slice_inputs_whole(t):
+    return dataflow.inputs(_log(t), _whole_slices(t))
+
+
+@query(_whole_sql("slice_mutations"))
+def slice_mutations_whole(t):
+    return dataflow.mutations(_log(t), _whole_slices(t))
+
+
+@query(_whole_sql("slice_outputs"))
+def slice_outputs_whole(t):
+    return dataflow.outputs(_log(t), _whole_slices(t))
+
+
+@query(f"""WITH {_LOG}, {_WHOLE}{_USE.removeprefix(f"{_LOG}, {_SLICE}")} {_OUT} UNION SELECT DISTINCT unit, slice, var FROM us a WHERE "at" BETWEEN first AND last AND w AND EXISTS (
+SELECT 1 FROM us b WHERE (b.unit, b.slice, b.var) = (a.unit, a.slice, a.var) AND NOT b.w AND b.slice % 3 < 2 AND b."at" BETWEEN b.slice // 3 * 60 + 2 AND b.slice // 3 * 60 + 50 AND b.declared < b.slice // 3 * 60 + 4)""")
+def slice_outputs_in_loop_whole(t):
+    """Of every sixty places, those from 2 to 50 are a loop."""
+    loops = _whole(t, 60).select("unit", (F.col("i") * 60 + 2).alias("loop_first"), (F.col("i") * 60 + 50).alias("loop_last"), (F.col("i") * 60 + 4).alias("carry"))
+    return dataflow.outputs(_log(t), _whole_slices(t), loops)
+
+
+@query(_whole_sql("slice_escapes"))
+def slice_escapes_whole(t):
+    return dataflow.escapes(_jumps(t), _whole_slices(t))
+
+
+@query(_whole_sql("slice_extractable"))
+def slice_extractable_whole(t):
+    return dataflow.extractable(_whole_slices(t), dataflow.escapes(_jumps(t), _whole_slices(t)))
+
+
 # paths, suppression, cache
 
 

@@ -16,24 +16,25 @@ def declarations(events: DataFrame) -> DataFrame:
     return events.groupBy("unit", "var").agg(first.alias("declared"))
 
 
-def usages(events: DataFrame, slices: DataFrame) -> DataFrame:
-    """(unit, slice, var, declared, first, last, at, is_write) of each event with each slice of its unit."""
-    return events.join(declarations(events), ["unit", "var"]).join(slices, "unit")
+def _places(spans: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
+    """``spans`` with a row for each place ``at`` inside: joins by unit and place are no product of a unit's rows."""
+    return spans.withColumn("at", F.explode(F.sequence(first, last)))
 
 
-def _inside() -> F.Column:
-    return F.col("at").between(F.col("first"), F.col("last"))
+def usages(events: DataFrame, slices: DataFrame) -> DataFrame:
+    """(unit, slice, var, declared, first, last, at, is_write) of each event with each slice that it lies in."""
+    return events.join(_places(slices), ["unit", "at"]).join(declarations(events), ["unit", "var"])
 
 
 def inputs(events: DataFrame, slices: DataFrame) -> DataFrame:
     """(unit, slice, var, is_mutated): variables declared before the slice and used in it."""
-    used = usages(events, slices).where(_inside() & (F.col("declared") < F.col("first")))
+    used = usages(events, slices).where(F.col("declared") < F.col("first"))
     return used.groupBy("unit", "slice", "var").agg(F.bool_or("is_write").alias("is_mutated"))
 
 
 def mutations(events: DataFrame, slices: DataFrame) -> DataFrame:
     """(unit, slice, var, first_mutation): variables declared before the slice and written in it."""
-    written = usages(events, slices).where(_inside() & F.col("is_write") & (F.col("declared") < F.col("first")))
+    written = usages(events, slices).where(F.col("is_write") & (F.col("declared") < F.col("first")))
     return written.groupBy("unit", "slice", "var").agg(F.min("at").alias("first_mutation"))
 
 
@@ -43,13 +44,16 @@ def outputs(events: DataFrame, slices: DataFrame, loops: DataFrame | None = None
     Also what a loop carries: with ``loops`` (unit, loop_first, loop_last, carry) around the slice, variables
     written in the slice, declared before ``carry`` and read anywhere in the loop.
     """
-    use = usages(events, slices)
-    made = use.where(_inside() & (F.col("is_write") | (F.col("declared") >= F.col("first")))).select("unit", "slice", "var", "is_write").distinct()
-    read = use.where((F.col("at") > F.col("last")) & ~F.col("is_write")).select("unit", "slice", "var").distinct()
-    out = made.select("unit", "slice", "var").distinct().join(read, ["unit", "slice", "var"], "left_semi")
+    made = usages(events, slices).where(F.col("is_write") | (F.col("declared") >= F.col("first")))
+    reads = events.where(~F.col("is_write")).select("unit", "var", "at")
+    last_read = reads.groupBy("unit", "var").agg(F.max("at").alias("last_read"))
+    out = made.join(last_read, ["unit", "var"]).where("last_read > last").select("unit", "slice", "var").distinct()
     if loops is not None:
-        around = use.where(~F.col("is_write")).join(loops, "unit").where("loop_first <= first and loop_last >= last and at between loop_first and loop_last and declared < carry")
-        carried = made.where("is_write").select("unit", "slice", "var").join(around, ["unit", "slice", "var"], "left_semi")
+        inside = _places(loops, "loop_first", "loop_last")
+        around = slices.withColumn("at", F.col("first")).join(inside, ["unit", "at"]).where("last <= loop_last").select("unit", "slice", "loop_first", "loop_last")
+        read = reads.join(inside, ["unit", "at"]).join(declarations(events), ["unit", "var"]).where("declared < carry")
+        carried = made.where("is_write").select("unit", "slice", "var").distinct().join(around, ["unit", "slice"])
+        carried = carried.join(read, ["unit", "var", "loop_first", "loop_last"], "left_semi").select("unit", "slice", "var")
         out = out.union(carried).distinct()
     return out
 
@@ -59,7 +63,7 @@ def escapes(jumps: DataFrame, slices: DataFrame) -> DataFrame:
 
     A jump without target, such as a return, always leaves.
     """
-    rows = jumps.join(slices, "unit").where(_inside())
+    rows = jumps.join(_places(slices), ["unit", "at"])
     return rows.where("target is null or target < first or target > last").select("unit", "slice", "at", "kind")
 
 
