@@ -42,3 +42,12 @@ def test_slices_of_whole_logs(spark):
     assert rows(dataflow.outputs(catalogue._log(t), catalogue._whole_slices(t))) == outs
     loops = spark.createDataFrame([(7, 60 * j + 2, 60 * j + 50, 60 * j + 4) for j in range(6)], "unit long, loop_first int, loop_last int, carry int")
     assert rows(dataflow.outputs(catalogue._log(t), catalogue._whole_slices(t), loops)) == outs | carried
+
+
+def test_edges_of_all_groups(spark, sf):
+    from tidewrack import catalogue
+
+    region = {r.n_nationkey: r.n_regionkey for r in spark.read.parquet(f"{sf}/nation.parquet").collect()}
+    nation = {r.s_suppkey: r.s_nationkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    want = {(a, b) for a, m in nation.items() for b, n in nation.items() if m != n and region[m] == region[n]}
+    assert {tuple(r) for r in catalogue.QUERIES["conditional_group_edges_all"](spark, sf).collect()} == want

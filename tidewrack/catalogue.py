@@ -459,6 +459,13 @@ def conditional_group_edges(t):
     return graph.group_edges(nodes, groups)
 
 
+@query(ORACLES["conditional_group_edges"].replace(" WHERE n_nationkey < 10", ""))
+def conditional_group_edges_all(t):
+    """The same with all nations in groups."""
+    nodes = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("file"))
+    return graph.group_edges(nodes, t("nation").select(F.col("n_regionkey").alias("grp"), F.col("n_nationkey").alias("file")))
+
+
 @query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT p_partkey AS parent, p_partkey + 1 AS child FROM part WHERE p_size = 7 AND p_partkey + 1 IN (SELECT p_partkey FROM part)),
 es AS (SELECT * FROM ed UNION SELECT * FROM s), r AS (SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#1' UNION SELECT dst FROM r JOIN es ON src = id) SELECT id FROM r""")
 def sealed_expansion(t):
