@@ -51,3 +51,18 @@ def test_edges_of_all_groups(spark, sf):
     nation = {r.s_suppkey: r.s_nationkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
     want = {(a, b) for a, m in nation.items() for b, n in nation.items() if m != n and region[m] == region[n]}
     assert {tuple(r) for r in catalogue.QUERIES["conditional_group_edges_all"](spark, sf).collect()} == want
+
+
+def test_detect_inserted_statement(spark):
+    from tidewrack.plans.dedupe import DedupeOptions, detect
+    from tidewrack.sources import files
+
+    line = [f"  total = total + call{i}(a, b{i});" for i in range(10)]
+    one = "int f(int a) {\n" + "\n".join(line) + "\n}\n"
+    two = "int g(int a) {\n" + "\n".join([*line[:5], "  log(total);", *line[5:]]) + "\n}\n"
+    report = detect(files.from_memory(spark, {"a.dart": one, "b.dart": two}), DedupeOptions(70, 4))
+    (c,) = report.clusters.collect()
+    assert (c.n_instances, c.bucket, c.category) == (2, "gapped", "logic")
+    assert sorted(r.path for r in report.instances.collect()) == ["a.dart", "b.dart"]
+    only = detect(files.from_memory(spark, {"a.dart": one, "b.dart": two}), DedupeOptions(70, 4, bucket="identical"))
+    assert only.clusters.count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.operators.matching import side_length
 from tidewrack.operators.tokens import line_array, line_starts, normalized, token_array, token_counts
 from tidewrack.plans.components import connected_components
 
@@ -52,7 +53,11 @@ def buckets(of: DataFrame, docs: DataFrame, ignore_identifiers: bool = False) ->
     """
     toks = docs.select("doc_id", token_array(F.col("text")).alias("t"))
     toks = toks.withColumn("n", F.transform("t", lambda t: normalized(t, True, ignore_identifiers)))
-    rows = of.join(toks, "doc_id")
+    return token_buckets(of.join(toks, "doc_id"))
+
+
+def token_buckets(rows: DataFrame) -> DataFrame:
+    """(component, bucket) of ``rows`` (component, doc_id, t, n): each member's lexemes, and as they are compared."""
     lead = rows.where("doc_id = component").select("component", F.col("t").alias("t0"), F.col("n").alias("n0"))
     rows = rows.join(lead, "component")
     renamed = F.exists(
@@ -75,6 +80,11 @@ def buckets(of: DataFrame, docs: DataFrame, ignore_identifiers: bool = False) ->
 def categories(of: DataFrame, docs: DataFrame) -> DataFrame:
     """(component, category) of each cluster's first member, by the lexemes it holds."""
     lead = of.where("doc_id = component").join(docs.select("doc_id", token_array(F.col("text")).alias("t")), "doc_id")
+    return token_categories(lead)
+
+
+def token_categories(lead: DataFrame) -> DataFrame:
+    """(component, category) of ``lead`` (component, t): the lexemes of each cluster's first member."""
     count = lambda test: F.size(F.filter("t", test))
     control = count(lambda t: t.isin(*CONTROL))
     data = count(lambda t: t.rlike("^[0-9]+$") | t.isin(*LITERAL))
@@ -91,10 +101,10 @@ def spans(pairs: DataFrame) -> DataFrame:
 
     The vertex of a span is a 64-bit hash of it; the cluster is the component's smallest hash.
     """
-    sides = [pairs.select(F.col(f"doc_{s}").alias("doc_id"), F.col(f"start_{s}").alias("start"), "n_tokens") for s in "ab"]
+    sides = [pairs.select(F.col(f"doc_{s}").alias("doc_id"), F.col(f"start_{s}").alias("start"), side_length(pairs, s).alias("n_tokens")) for s in "ab"]
     vertex = F.xxhash64("doc_id", "start", "n_tokens")
     every = sides[0].union(sides[1]).distinct().withColumn("v", vertex)
-    edges = pairs.select(F.xxhash64("doc_a", "start_a", "n_tokens").alias("a"), F.xxhash64("doc_b", "start_b", "n_tokens").alias("b"))
+    edges = pairs.select(F.xxhash64("doc_a", "start_a", side_length(pairs, "a")).alias("a"), F.xxhash64("doc_b", "start_b", side_length(pairs, "b")).alias("b"))
     label = connected_components(edges, "a", "b")
     return every.join(label, every.v == label.node).select(F.col("component").alias("cluster"), "doc_id", "start", "n_tokens")
 

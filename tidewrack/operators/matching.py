@@ -41,13 +41,20 @@ def clone_pairs(grams: DataFrame, k: int, max_bucket: int = 50) -> DataFrame:
     return runs.select("doc_a", "start_a", "doc_b", (F.col("start_a") + F.col("diag")).alias("start_b"), "n_tokens")
 
 
+def side_length(pairs: DataFrame, side: str, of: str = "") -> F.Column:
+    """The tokens of a side of pairs: n_a and n_b if the two differ, else n_tokens."""
+    return F.col(of + (f"n_{side}" if f"n_{side}" in pairs.columns else "n_tokens"))
+
+
 def maximal_pairs(pairs: DataFrame) -> DataFrame:
     """``pairs`` without those that lie, both sides, inside a longer pair of the same two texts, either way round."""
     q = pairs.select(*(F.col(c).alias(f"q_{c}") for c in pairs.columns))
-    inside = lambda s, t: (F.col(s) >= F.col(f"q_{t}")) & (F.col(s) + F.col("n_tokens") <= F.col(f"q_{t}") + F.col("q_n_tokens"))
-    straight = inside("start_a", "start_a") & inside("start_b", "start_b")
-    turned = (F.col("doc_a") == F.col("doc_b")) & inside("start_a", "start_b") & inside("start_b", "start_a")
-    same = (F.col("doc_a") == F.col("q_doc_a")) & (F.col("doc_b") == F.col("q_doc_b")) & (F.col("q_n_tokens") > F.col("n_tokens"))
+    n = lambda s, of="": side_length(pairs, s, of)
+    inside = lambda s, t: (F.col(f"start_{s}") >= F.col(f"q_start_{t}")) & (F.col(f"start_{s}") + n(s) <= F.col(f"q_start_{t}") + n(t, "q_"))
+    straight = inside("a", "a") & inside("b", "b")
+    turned = (F.col("doc_a") == F.col("doc_b")) & inside("a", "b") & inside("b", "a")
+    longer = n("a", "q_") + n("b", "q_") > n("a") + n("b")
+    same = (F.col("doc_a") == F.col("q_doc_a")) & (F.col("doc_b") == F.col("q_doc_b")) & longer
     return pairs.join(q, same & (straight | turned), "left_anti")
 
 

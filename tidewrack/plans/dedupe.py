@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.operators import clusters, matching, ranges
+from tidewrack.operators import clusters, matching, ranges, similarity
 from tidewrack.operators.tokens import array_kgrams
 from tidewrack.plans.lineage import cut
 from tidewrack.sources import dart
@@ -48,6 +48,8 @@ def detect(files: DataFrame, options: DedupeOptions = DedupeOptions(), changed:
     by_file = toks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("x"))  # one file's tokens
     arrays = by_file.select(F.col("path").alias("doc_id"), F.transform("x", lambda t: t["norm"]).alias("_t"))
     pairs = cut(matching.clone_pairs(cut(array_kgrams(arrays, k)), k, options.max_bucket))
+    pairs = pairs.select("doc_a", "start_a", F.col("n_tokens").alias("n_a"), "doc_b", "start_b", F.col("n_tokens").alias("n_b"))
+    pairs = cut(pairs.union(_unit_pairs(cut(dart.unit_rows(files, options.min_tokens, options.min_lines, options.ignore_literals, options.ignore_identifiers)), options.max_bucket)).distinct())
     at = toks.select(F.col("path").alias("doc_id"), "pos", "line")
     placed = _tall_enough(matching.maximal_pairs(pairs), at, options.min_lines)
     found = clusters.without_overlaps(clusters.spans(cut(placed)))
@@ -62,6 +64,10 @@ def detect(files: DataFrame, options: DedupeOptions = DedupeOptions(), changed:
         F.count("*").alias("n_instances"), F.min_by("n_tokens", key).alias("token_count"), F.round(F.avg("lines")).cast("long").alias("line_count"),
         (F.sum("lines") - F.min_by("lines", key)).alias("lines_saved"),
     )
+    every = every.join(_kinds(instances, toks), "cluster")
+    for kind in ("category", "bucket"):
+        if getattr(options, kind) != "all":
+            every = every.where(F.col(kind) == getattr(options, kind))
     if changed is not None:
         flags = ranges.diff_flags(
             instances.select("cluster", F.col("path").alias("doc_id"), F.col("start_line").alias("start"), F.col("end_line").alias("end")),
@@ -83,6 +89,36 @@ def detect(files: DataFrame, options: DedupeOptions = DedupeOptions(), changed:
     return DedupeReport(instances, every, metrics, summary)
 
 
+def _unit_pairs(units: DataFrame, max_bucket: int) -> DataFrame:
+    """(doc_a, start_a, n_a, doc_b, start_b, n_b) of units with equal tokens or at least 0.8 of their statements in common."""
+    sides = {s: units.select(F.col("doc_id").alias(f"doc_{s}"), F.col("path").alias(f"p_{s}"), F.col("first").alias(f"start_{s}"), F.col("n_tokens").alias(f"n_{s}"), "hash") for s in "ab"}
+    sized = units.groupBy("hash").agg(F.count("*").alias("size")).where(F.col("size").between(2, max_bucket))
+    equal = sides["a"].join(sized, "hash").join(sides["b"], "hash").where("doc_a < doc_b").select("doc_a", "doc_b")
+    many = units.where(F.size("lines") >= 2).select("doc_id", "lines")
+    alike = similarity.jaccard_pairs(similarity.candidate_pairs(similarity.signatures(many), max_bucket), many).select("doc_a", "doc_b")
+    rows = equal.union(alike).distinct().join(sides["a"].drop("hash"), "doc_a").join(sides["b"].drop("hash"), "doc_b")
+    rows = rows.where("p_a <> p_b or start_a >= start_b + n_b or start_b >= start_a + n_a")
+    swap = (F.col("p_a") > F.col("p_b")) | ((F.col("p_a") == F.col("p_b")) & (F.col("start_a") > F.col("start_b")))
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return rows.select(*(pick(f"{c}_{s}", f"{c}_{o}").alias("doc_" + s if c == "p" else f"{c}_{s}") for s, o in ("ab", "ba") for c in ("p", "start", "n")))
+
+
+def _kinds(instances: DataFrame, toks: DataFrame) -> DataFrame:
+    """(cluster, bucket, category) by the tokens of each cluster's instances."""
+    places = F.explode(F.sequence("start", (F.col("start") + F.col("n_tokens") - 1).cast("int"))).alias("pos")
+    rows = instances.select("cluster", "path", F.col("start").cast("int").alias("start"), "n_tokens").select("cluster", "path", "start", places)
+    rows = rows.join(toks.select("path", "pos", "orig", "norm"), ["path", "pos"])
+    rows = rows.groupBy("cluster", "path", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "orig", "norm"))).alias("x"))
+    rows = rows.select("cluster", F.struct("path", "start").alias("doc_id"), F.col("x.orig").alias("t"), F.col("x.norm").alias("n"))
+    first = rows.groupBy("cluster").agg(F.min("doc_id").alias("component"))
+    rows = cut(rows.join(first, "cluster").select("component", "cluster", "doc_id", "t", "n"))
+    # two clusters may begin with spans of one start: the cluster is part of what names a component
+    rows = rows.select(F.struct("cluster", "component").alias("component"), F.struct("cluster", "doc_id").alias("doc_id"), "t", "n")
+    lead = rows.where("doc_id = component")
+    found = clusters.token_buckets(rows).join(clusters.token_categories(lead), "component")
+    return found.select(F.col("component.cluster").alias("cluster"), "bucket", "category")
+
+
 def _tall_enough(pairs: DataFrame, at: DataFrame, min_lines: int) -> DataFrame:
     """Pairs of which both sides span the lines asked for."""
     for side in "ab":
@@ -90,6 +126,6 @@ def _tall_enough(pairs: DataFrame, at: DataFrame, min_lines: int) -> DataFrame:
         low = at.select(F.col("doc_id").alias(name), F.col("pos").alias(f"start_{side}"), F.col("line").alias("_l0"))
         high = at.select(F.col("doc_id").alias(name), F.col("pos").alias("_p"), F.col("line").alias("_l1"))
         cols = pairs.columns
-        rows = pairs.withColumn("_p", F.col(f"start_{side}") + F.col("n_tokens") - 1).join(low, [name, f"start_{side}"]).join(high, [name, "_p"])
+        rows = pairs.withColumn("_p", F.col(f"start_{side}") + matching.side_length(pairs, side) - 1).join(low, [name, f"start_{side}"]).join(high, [name, "_p"])
         pairs = rows.where(F.col("_l1") - F.col("_l0") + 1 >= min_lines).select(*cols)
     return pairs

@@ -5,6 +5,7 @@ Names are not resolved: that needs a compiler. What cannot be read gives no fact
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -387,6 +388,51 @@ def candidate_units(tokens: list[Token], min_tokens: int = 40, min_lines: int =
     return sorted({s for s in spans if s[2] > s[1] and big(s[1], s[2])}, key=lambda s: (s[1], -s[2], s[0]))
 
 
+def statement_spans(tokens: list[Token], first: int, last: int) -> list[tuple[int, int]]:
+    """(first, last) of the statements right inside the block that ``first`` opens and ``last`` closes."""
+    s, out, i = Scorer(tokens), [], first + 1
+    while i < last:
+        j = s.statement(i, last, 0)
+        while j < last and (tokens[j - 1].text == ":" or tokens[j - 1].text == "}" and tokens[j].text in ("on", "catch", "finally")):
+            j = s.statement(j, last, 0)
+        out.append((i, min(j, last) - 1))
+        i = max(j, i + 1)
+    return out
+
+
+def unit_rows(files: DataFrame, min_tokens: int, min_lines: int, ignore_literals: bool = True, ignore_identifiers: bool = False) -> DataFrame:
+    """(doc_id, path, first, n_tokens, hash, lines) of the candidate units of ``files`` (path, content).
+
+    ``hash`` is of the compared tokens, ``lines`` are the distinct hashes of the statements of declarations and
+    blocks with a block body; other units have none.
+    """
+
+    def units(path, content):
+        tokens = tokenize(content)
+        norm = [t.norm(ignore_literals, ignore_identifiers) for t in tokens]
+        digest = lambda a, b: hashlib.md5("\0".join(norm[a : b + 1]).encode("utf-8", "replace")).hexdigest()
+        body = {(d.head, d.last): d.first for d in declarations(tokens)}
+        seen = set()
+        for kind, a, b in candidate_units(tokens, min_tokens, min_lines):
+            open_ = body.get((a, b), a) if kind == "declaration" else a
+            lines = {digest(*s) for s in statement_spans(tokens, open_, b)} if tokens[open_].text == "{" else set()
+            if (a, b) not in seen:
+                yield f"{path}:{a}:{b}", path, a, b - a + 1, digest(a, b), sorted(lines)
+            seen.add((a, b))
+
+    def run(parts):
+        for p in parts:
+            rows = []
+            for path, content in zip(p.path, p.content):
+                try:
+                    rows += units(path, content or "")
+                except (IndexError, KeyError, RecursionError):
+                    continue
+            yield pd.DataFrame(rows, columns=["doc_id", "path", "first", "n_tokens", "hash", "lines"])
+
+    return files.select("path", "content").mapInPandas(run, "doc_id string, path string, first int, n_tokens int, hash string, lines array<string>")
+
+
 def token_rows(files: DataFrame, ignore_literals: bool = True, ignore_identifiers: bool = False) -> DataFrame:
     """(path, pos, norm, orig, line, col) of the tokens of ``files`` (path, content)."""
 
