@@ -9,7 +9,8 @@ The seeds of the benchmark go to the tasks in parts of at most ``part_items`` it
 ``part_words`` words long in sum, so what is broadcast has a bound whatever the benchmark's size; documents are
 read once for each part and aren't shuffled.
 
-Items under ``SEED_WORDS`` words take no part: so few words are no passage. The masks find every place where a
+Items under ``SEED_WORDS`` words are held where all their words follow one another; items without a word take no
+part. The masks find every place where a
 fifth of an item's words or less differ, as tests show by trying all of them up to 20 words. Null and empty texts hold nothing.
 Repeated documents or items give repeated or equal rows; empty tables give an empty result. Other columns are
 not read.
@@ -34,7 +35,9 @@ SEED_WORDS = 5
 LONG = 12
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 2, 3, 5, 7), (0, 1, 4, 6, 9))
 SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 3, 5))
-ALL_MASKS = MASKS + SHORT_MASKS
+#: Items under ``SEED_WORDS`` words, by their number of words: all count.
+WHOLE_MASKS = tuple(tuple(range(n)) for n in range(1, SEED_WORDS))
+ALL_MASKS = MASKS + SHORT_MASKS + WHOLE_MASKS
 STEPS = [mixed(np.arange(1, len(p) + 1, dtype=np.uint64) + np.uint64(100 * m)) | np.uint64(1) for m, p in enumerate(ALL_MASKS)]
 
 
@@ -52,7 +55,10 @@ def seeds(words: np.ndarray, mask: int) -> np.ndarray:
 
 def masks_of(n_words: int) -> range:
     """The masks that an item of so many words is indexed by."""
-    return range(len(MASKS)) if n_words >= LONG else range(len(MASKS), len(ALL_MASKS))
+    if n_words >= LONG:
+        return range(len(MASKS))
+    whole = len(MASKS) + len(SHORT_MASKS)
+    return range(len(MASKS), whole) if n_words >= SEED_WORDS else range(whole + n_words - 1, whole + n_words)
 
 
 @dataclass
@@ -89,6 +95,8 @@ class SeedIndex:
                 continue
             s = seeds(words, m)
             p = np.flatnonzero(self.bits[m][s >> np.uint64(self.shift)])
+            if m >= len(MASKS) + len(SHORT_MASKS):
+                p = p[np.unique(s[p], return_index=True)[1]]  # a few words may be frequent: their first place is enough
             low, high = np.searchsorted(h, s[p], "left"), np.searchsorted(h, s[p], "right")
             for k in np.flatnonzero(high > low):
                 r = slice(low[k], high[k])
@@ -163,7 +171,7 @@ def _parts(bench: DataFrame, part_words: int) -> Iterator[list[tuple[int, np.nda
     part, size = [], 0
     for r in bench.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         w = words_of(r.t)
-        if len(w) < SEED_WORDS:
+        if not len(w):
             continue
         if part and size + len(w) > part_words:
             yield part
