@@ -79,3 +79,18 @@ def test_items_without_spaces_and_short_items(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()} == {(1, 1), (2, 2), (4, 3)}
     assert {r.doc_id for r in decontaminate.without_contaminated(frame, bench).collect()} == {3, 5}
+
+
+def test_languages_of_one_sample_are_fitted():
+    import numpy as np
+
+    from tidewrack.llm import langid
+
+    texts = [("aa", f"kala mana tala {i}") for i in range(5)] + [("bb", "zwyx qrst vwxz zwyx"), ("cc", "oiu eiou uieo")]
+    rows = []
+    for lang, text in texts:
+        used, n = np.unique(langid.subwords(text)[0], return_counts=True)
+        rows.append((lang, used, n.astype(float)))
+    model = langid.train(rows, epochs=60)
+    assert model.predict(["zwyx qrst vwxz zwyx", "kala mana tala"])[0] == ["bb", "aa"]
+    assert len(langid.train([r for r in rows if r[0] != "aa"]).languages) == 2

@@ -99,14 +99,15 @@ class LanguageModel:
 
 
 def train(samples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 6, rate: float = 0.5, accept: float = 0.99, seed: int = 1) -> LanguageModel:
-    """``samples``: (language, buckets, counts). Every fifth sample of each language calibrates only."""
+    """``samples``: (language, buckets, counts). Every fifth sample of each language, from its second, calibrates only."""
     samples = sorted((s for s in samples if len(s[1])), key=lambda s: (s[0], len(s[1]), s[1].tobytes(), s[2].tobytes()))
     languages = sorted({s[0] for s in samples})
     rng, k = np.random.default_rng(seed), len(languages)
     if k < 2:
         return LanguageModel(languages, np.zeros((BUCKETS, max(1, k))), np.zeros(max(1, k)), 1.0, 0.0)
-    held = [s for i, s in enumerate(samples) if i % 5 == 0]
-    fit = [s for i, s in enumerate(samples) if i % 5]
+    place = {lang: i for i, (lang, *_) in reversed(list(enumerate(samples)))}  # of each language's first sample
+    held = [s for i, s in enumerate(samples) if (i - place[s[0]]) % 5 == 1]
+    fit = [s for i, s in enumerate(samples) if (i - place[s[0]]) % 5 != 1]
     e, w, bias = rng.uniform(-1, 1, (BUCKETS, dim)) / dim, np.zeros((dim, k)), np.zeros(k)
     steps, step = epochs * len(fit), 0
     for _ in range(epochs):
@@ -124,6 +125,8 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epoc
             bias -= 0.1 * lr * g
             step += 1
     table = e @ w
+    if not held:  # one sample of each language: nothing to calibrate with
+        return LanguageModel(languages, table.astype("f4"), bias, 1.0, 0.0)
     logits = np.array([(c / c.sum()) @ table[b] + bias for _, b, c in held])
     truth = np.array([languages.index(s[0]) for s in held])
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
@@ -141,15 +144,16 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, rows_per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+def sample(docs: DataFrame, rows_per_language: int, max_languages: int = 1000) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Subword counts of about ``rows_per_language`` labelled rows of each language, chosen by a hash of doc_id.
 
+    Of more than ``max_languages`` languages only the most frequent are learnt: the model's size grows with them.
     Counting languages is one grouped count; what comes to the driver is bounded by the rows and BUCKETS.
     """
     bound_batches(docs.sparkSession)
     known = docs.where(~held_out()).where("lang is not null and text is not null and doc_id is not null")
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not sizes:
         return []
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
@@ -172,12 +176,13 @@ def sample(docs: DataFrame, rows_per_language: int) -> list[tuple[str, np.ndarra
     return [(r.lang, np.frombuffer(bytes(r.b), "<i4").astype(np.int64), np.frombuffer(bytes(r.c), "<f8")) for r in rows]
 
 
-def identify(docs: DataFrame, rows_per_language: int = 400) -> DataFrame:
+def identify(docs: DataFrame, rows_per_language: int = 400, max_languages: int = 1000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of every row, learnt from the rows not held out.
 
-    The model is fitted on about ``rows_per_language`` rows of each language.
+    The model is fitted on about ``rows_per_language`` rows of each of the ``max_languages`` most frequent
+    languages; rows of rarer ones get one of those.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, rows_per_language)))  # BUCKETS x languages
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, rows_per_language, max_languages)))  # BUCKETS x languages
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
