@@ -94,3 +94,14 @@ def test_languages_of_one_sample_are_fitted():
     model = langid.train(rows, epochs=60)
     assert model.predict(["zwyx qrst vwxz zwyx", "kala mana tala"])[0] == ["bb", "aa"]
     assert len(langid.train([r for r in rows if r[0] != "aa"]).languages) == 2
+
+
+def test_last_stage_decodes(spark, sf):
+    import hashlib
+
+    import corpus_pipeline
+
+    texts = ["plain words, 12", "h\u00e9 \u4eca\u65e5 \U0001f600", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
