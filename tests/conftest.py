@@ -8,10 +8,10 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tidewrack.session import local_session
 
-    session = local_session(4, shuffle_partitions=4, memory="4g")
+    session = local_session(4, shuffle_partitions=4, memory="4g", checkpoint_dir=f"file://{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
     yield session

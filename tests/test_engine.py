@@ -85,3 +85,9 @@ def test_graph(spark):
     assert sorted(r.dst for r in graph.resolved(refs, nodes).collect()) == [2, 3]
     kept = graph.without_sealed_subtypes(ids(7, 8), spark.createDataFrame([(7, 2)], "id long, parent long"), sealed, ids(2))
     assert [r.id for r in kept.collect()] == [8]
+
+
+def test_reach_over_many_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(5, 0), (50, 51), (3, 3), (None, 4), (7, None)], "src long, dst long")
+    roots = spark.createDataFrame([(0,), (0,), (60,)], "id long")
+    assert sorted(r.id for r in graph.reachable(edges, roots).collect()) == [*range(21), 60]

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.plans.lineage import cut
 
 
+#: Rounds whose tables are kept apart before they become one.
+APART = 16
+
+
 def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id) of all nodes that ``roots`` (id) reach over ``edges`` (src, dst), themselves included.
 
-    Each round joins the frontier, not all that was reached, with the edges; it is cut in shared storage.
+    Each round joins the frontier, not all that was reached, with the edges, and writes its new nodes only: the
+    rounds' tables stay apart, and become one after every ``APART``.
     """
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    seen = frontier = cut(roots.select("id").distinct())
+    seen = [cut(roots.select("id").distinct())]
     for _ in range(max_rounds):
+        frontier = seen[-1]
         step = frontier.join(edges, frontier.id == edges.src).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.union(frontier))
+        found = cut(step.join(reduce(DataFrame.union, seen), "id", "left_anti"))
+        if found.isEmpty():
+            return reduce(DataFrame.union, seen)
+        if len(seen) == APART:
+            seen = [cut(reduce(DataFrame.union, seen), *seen)]
+        seen.append(found)
     raise RuntimeError(f"the search didn't end in {max_rounds} rounds")
 
 

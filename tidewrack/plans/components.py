@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40)
     )
     e, seen = cut(e), None
     for _ in range(max_rounds):
-        e = cut(_star(_star(e, large=True), large=False))
+        e = cut(_star(_star(e, large=True), large=False), e)
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if tuple(mark) == seen:
             break
