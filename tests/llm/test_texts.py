@@ -251,17 +251,14 @@ def test_fingerprint_definition():
         assert simhash.fingerprint_of(t) == want
 
 
-def test_near_groups_as_brute_force(spark, none):
-    r = random.Random(11)
-    texts = []
-    for i in range(25):
-        words = prose(500 + i, r.choice([3, 40, 150])).split()
-        for _ in range(4):
-            texts.append(" ".join(words))
-            words[r.randrange(len(words))] = "other"
-    seeds = (42, 43, 44)
-    prints = [simhash.fingerprints_of(t, 5, seeds) for t in texts]
-    parent = list(range(len(texts)))
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_groups(texts):
+    """Components by 0.8 of the shingles, all pairs."""
+    sets, parent = [plain_shingles(t) for t in texts], list(range(len(texts)))
 
     def find(x):
         while parent[x] != x:
@@ -270,20 +267,53 @@ def test_near_groups_as_brute_force(spark, none):
 
     for a in range(len(texts)):
         for b in range(a):
-            if any((x ^ y).bit_count() <= 4 for x, y in zip(prints[a], prints[b])):
+            both = len(sets[a] & sets[b])
+            if (texts[a] or "") == (texts[b] or "") or both and both >= 0.8 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(seed):
+    """Texts, and chains of copies of which each differs from the one before in some words."""
+    r, texts = random.Random(seed), []
+    for i in range(25):
+        words = prose(500 + i, r.choice([3, 40, 150])).split()
+        for k in range(6):
+            texts.append(" ".join(words))
+            for _ in range(k % 3):
+                words[r.randrange(len(words))] = f"other{k}"
+    return texts
+
+
+def test_near_texts_as_brute_force(spark):
+    texts = edited(11)
+    want = plain_groups(texts)
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
-    got = {x.doc_id: x.component_id for x in simhash.near_groups(docs).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
-    assert simhash.near_groups(none).count() == 0
+    _, nodes, label = simhash.near_texts(docs, split_at=4)
+    of = {x.i: x.c for x in nodes.join(label, "id", "left").selectExpr("m.i", "coalesce(c, -1 - id) as c").collect()}
+    of = {i: of.get(i, of[texts.index(t)]) for i, t in enumerate(texts)}  # a text's node has its least doc_id
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    linked = {p for p in pairs if of[p[0]] == of[p[1]]}
+    right = {(a, b) for a, b in pairs if want[a] == want[b]}
+    assert linked <= right and len(linked) >= 0.9 * len(right) > 30
 
 
-def test_keep_first(spark, odd):
+def test_keep_first(spark, odd, none):
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(4) == 1 and 9 not in ids and {1, 6, 7, 8}.issubset(ids)
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    # the null text stands for the empty one; 4 and 9 are one text, and of the equal rows of 4 one stays
+    assert got == sorted((d or 0, t) for d, t, *_ in {r[:2]: r for r in ODD if r[0] not in (2, 9)}.values())
+    assert simhash.keep_first(none).count() == 0
+
+
+def test_keep_first_goes_by_text(spark):
+    a, b, c, d = (prose(900 + i, 60) for i in range(4))
+    near = " ".join([*a.split()[:-1], "end"])
+    rows = [(None, a, "x", None, 1), (None, b, "y", None, 2), (3, c, "b", "s", 3), (3, d, "a", "s", 4), (3, c, "a", "s", 5), (3, c, "a", "s", 5), (9, near, "z", None, 6), (10, b, None, None, 7)]
+    got = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == sorted([(9, near, "z", None, 6), (10, b, None, None, 7), (3, c, "a", "s", 5), (3, d, "a", "s", 4)], key=str)
 
 
 # op2

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.functions.arrow import bound_batches, text_pieces
-from tidewrack.llm.wordhash import SPAN, mixed, word_hashes
+from tidewrack.functions.arrow import bound_batches
+from tidewrack.llm.wordhash import document_words, mixed, words_of
 
 SEED_WORDS = 5
 #: Places of the words that count. With four of five words equal, at any places, some mask fits somewhere: the
@@ -115,27 +115,6 @@ class SeedIndex:
         return [(i, s, n, len(self.words[i])) for i, (n, s) in sorted(best.items())]
 
 
-def words_of(text: str | None) -> np.ndarray:
-    """Hashes of all words of a text."""
-    parts = [word_hashes(p.lower().encode())[0] for piece in text_pieces([text], SPAN // 8) for _, p in piece]
-    return np.concatenate([np.zeros(0, np.uint64), *parts])
-
-
-def document_words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes) of the texts; many short ones are hashed together, a long one piece by piece."""
-    for piece in text_pieces(texts, SPAN // 8):  # a character has four bytes at the most, and may grow by lower()
-        if len(piece) == 1 and len(piece[0][1]) < len(texts[piece[0][0]]):
-            continue
-        lowered = [p.lower().encode() for _, p in piece]
-        h, starts, _ = word_hashes(b"\n".join(lowered))
-        bounds = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in lowered]))
-        whole = [(row, h[bounds[k] : bounds[k + 1]]) for k, (row, p) in enumerate(piece) if len(p) == len(texts[row])]
-        yield from whole
-    for row, text in enumerate(texts):
-        if text and len(text) > SPAN // 8:
-            yield row, words_of(text)
-
-
 def contaminated(
     docs: DataFrame, bench: DataFrame, similarity: float = 0.8, part_words: int = 2_000_000
 ) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.arrow import bound_batches
+from tidewrack.llm.wordhash import document_words, mixed
 from tidewrack.plans.components import connected_components
 from tidewrack.plans.lineage import cut
 
@@ -32,23 +33,26 @@ from tidewrack.plans.lineage import cut
 BLOCK = 1 << 16
 
 
-def fingerprints_of(text: str | None, words: int, seeds: tuple[int, ...]) -> list[int]:
-    """The unsigned fingerprint by each seed: a bit is 1 if set in over half of the shingles' hashes, repeats included."""
+def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The unsigned fingerprint: a bit is 1 if set in over half of the shingles' hashes, repeats included."""
     w = (text or "").encode().lower().split()  # of bytes: only A-Z change, and only ASCII white space parts
     if not w:
-        return [0] * len(seeds)
-    n, ones = max(1, len(w) - words + 1), np.zeros((len(seeds), 64), np.int64)
+        return 0
+    n, ones = max(1, len(w) - words + 1), np.zeros(64, np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for at in range(0, n, BLOCK):
-        shingles = [join(w[i : i + words]) for i in range(at, min(n, at + BLOCK))]
-        for k, seed in enumerate(seeds):
-            h = np.fromiter((digest(s, seed) for s in shingles), "<u8", len(shingles))
-            ones[k] += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits((2 * ones > n).astype("u1"), axis=1, bitorder="little").view("<u8").ravel().tolist()
+        h = np.fromiter((digest(join(w[i : i + words]), seed) for i in range(at, min(n, at + BLOCK))), "<u8")
+        ones += _ones(h)
+    return int(_majority(ones, n))
 
 
-def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
-    return fingerprints_of(text, words, (seed,))[0]
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> np.uint64:
+    return np.packbits((2 * ones > n).astype("u1"), bitorder="little").view("<u8")[0]
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -80,37 +84,31 @@ def _near(a: str, b: str, radius: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def near_components(prints: DataFrame, radius: int = 4, split_at: int = 256, within: DataFrame | None = None) -> DataFrame:
-    """(v, component) of the distinct values of ``prints.fp`` that have a near other; component is a label.
-
-    ``v`` is the fingerprint. With ``within``, edges (a, b) between vertices that belong together, fingerprints are
-    of several seeds: ``prints`` has ``seed`` too, only those of one seed are compared, and v hashes both.
-    """
+def near_components(prints: DataFrame, radius: int = 4, split_at: int = 256) -> DataFrame:
+    """(v, component) of the distinct values v of ``prints.fp`` that have a near other; component is a label."""
     masks = covering_masks(radius)
-    vertex = (lambda fp: F.xxhash64("seed", fp)) if within is not None else F.col
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seed = F.col("seed") if within is not None else F.lit(0).alias("seed")
-    fps = cut(prints.select(seed, "fp").distinct().repartition(parts, "fp"))  # they are about to become one row for each table
-    key = ["seed", "t", "k"]
-    rows = fps.select("seed", "fp", F.explode(_tables(masks, F.col("fp"))).alias("x")).select("seed", "x.t", "x.k", "fp")
+    fps = cut(prints.select("fp").distinct().repartition(parts, "fp"))  # they are about to become one row for each table
+    key = ["t", "k"]
+    rows = fps.select("fp", F.explode(_tables(masks, F.col("fp"))).alias("x")).select("x.t", "x.k", "fp")
     full = rows.groupBy(*key).agg(F.min("fp").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    rows = cut(rows.join(full, key).select(*key, "fp", "pivot", "members"))
-    star = rows.where((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", radius)).select(vertex("fp").alias("a"), vertex("pivot").alias("b"))
-    label = connected_components(star if within is None else star.union(within), "a", "b").select(F.col("node").alias("v"), "component")
+    rows = cut(rows.join(full, key).select(*key, "fp", "pivot", "members"), fps)
+    star = rows.where((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", radius)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    label = connected_components(star, "a", "b").select(F.col("node").alias("v"), "component")
 
-    rows = rows.withColumn("v", vertex("fp")).join(label, "v", "left").select(*key, "fp", "members", F.coalesce("component", "v").alias("c"))
-    mixed = rows.groupBy(*key).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(*key)
-    rows = cut(rows.join(mixed, key))
+    named = rows.join(label, rows.fp == label.v, "left").select(*key, "fp", "members", F.coalesce("component", "fp").alias("c"))
+    mixed = named.groupBy(*key).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(*key)
+    rows = cut(named.join(mixed, key), rows)
     mask_of = F.element_at(F.array(*map(F.lit, masks)), F.col("t") + 1)
     fine = F.when(F.col("members") > split_at, _tables(covering_masks(radius, shift=7), F.col("fp"), mask_of)).otherwise(
         F.array(F.struct(F.lit(-1).alias("t"), F.lit(0).cast("long").alias("k")))
     )
-    rows = rows.select(*key, "fp", "c", F.explode(fine).alias("x")).select(*key, F.col("x.t").alias("t2"), F.col("x.k").alias("k2"), "fp", "c")
-    other = rows.select(*key, "t2", "k2", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    pairs = rows.join(other, [*key, "t2", "k2"]).where((F.col("c") < F.col("c2")) & _near("fp", "fp2", radius))
+    split = rows.select(*key, "fp", "c", F.explode(fine).alias("x")).select(*key, F.col("x.t").alias("t2"), F.col("x.k").alias("k2"), "fp", "c")
+    other = split.select(*key, "t2", "k2", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
+    pairs = split.join(other, [*key, "t2", "k2"]).where((F.col("c") < F.col("c2")) & _near("fp", "fp2", radius))
     between = connected_components(pairs.select("c", "c2").distinct(), "c", "c2").withColumnRenamed("component", "last")
 
-    # a vertex is touched by a star, or stands alone and is touched by an exact pair
+    # a fingerprint is touched by a star, or stands alone and is touched by an exact pair
     joined = label.join(between, label.component == between.node, "left").select("v", F.coalesce("last", "component").alias("component"))
     single = between.join(label, between.node == label.v, "left_anti")
     return joined.union(single.select(F.col("node").alias("v"), F.col("last").alias("component")))
@@ -126,38 +124,131 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_groups(docs: DataFrame, words: int = 5, radius: int = 4, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
-    """(doc_id, component_id) of every row; documents are linked that any of several fingerprints puts near.
+# near texts: candidates by fingerprints over distinct words, links by the shingles themselves
 
-    Two texts that share four fifths of their shingles differ in some ten bits of 64, which no set of tables of a
-    bearable size covers. Fingerprints by other seeds differ independently, so of several some are near, and
-    far texts stay as far as before.
-    """
-    bound_batches(docs.sparkSession)
+#: Seeds of the fingerprints over distinct words, and the words of a shingle.
+SEEDS, SHINGLE = (1, 2, 3), 5
 
-    @F.pandas_udf("array<long>")
-    def fps(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(fingerprints_of(t, words, seeds), "u8").view("i8") for t in texts])
 
-    prints = cut(docs.select("doc_id", fps("text").alias("fps")))
-    nodes = cut(prints.groupBy("fps").agg(F.min("doc_id").alias("low")))
-    vertex = lambda k: F.xxhash64(F.lit(k), F.col("fps")[k])
-    each = nodes.select(F.posexplode("fps").alias("seed", "fp"))
-    others = F.explode(F.array(*map(vertex, range(1, len(seeds))))) if len(seeds) > 1 else vertex(0)
-    label = near_components(each, radius, within=nodes.select(vertex(0).alias("a"), others.alias("b")))
-    grouped = nodes.withColumn("v", vertex(0)).join(label, "v", "left").select("fps", "low", F.coalesce("component", "v").alias("g"))
-    least = grouped.groupBy("g").agg(F.min("low").alias("component_id"))
-    return prints.join(grouped.join(least, "g").select("fps", "component_id"), "fps").select("doc_id", "component_id")
+def word_fingerprints(words: np.ndarray, seeds: tuple[int, ...] = SEEDS) -> list[int] | None:
+    """The signed fingerprint by each seed over the distinct words; None without a word."""
+    if not len(words):
+        return None
+    words = np.unique(words)
+    out = np.array([_majority(sum(_ones(mixed(words[at : at + BLOCK] ^ SALTS[s])) for at in range(0, len(words), BLOCK)), len(words)) for s in seeds], "u8")
+    return out.view("i8").tolist()
+
 
+SALTS = mixed(np.arange(1, 1 << 8, dtype=np.uint64))
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near group: that of the smallest doc_id (any one, if rows repeat it).
 
-    Rows without doc_id count as one document.
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    """The distinct signed hashes of all runs of ``SHINGLE`` words; fewer words are one shingle."""
+    n = max(1, len(words) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(words))):
+        out += words[k : k + n] * SALTS[100 + k]
+    return np.unique(mixed(out)).view("i8")
+
+
+def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_at: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, label) of ``docs`` by their texts.
+
+    ``rows`` are the input's: _d, the text's digest, _m, all other columns that have an order, _h, a hash of _m, _t,
+    the text, and _r, the whole row. ``nodes``: a row (id, d, m, h, fps) for each distinct text, m the least _m; ``label``
+    (id, c): the texts that are linked to others, and their component. Two texts are linked if ``similarity`` of
+    their shingles of five words are common, so texts without a word are linked to equal ones only.
+
+    Candidates are texts of which one of three fingerprints over the distinct words is within ``radius``. A word
+    that differs spoils five shingles but one of the words, so these are closer than those over shingles: pairs at
+    0.8 of the shingles are mostly within four bits of 64. First each text is compared with the first and the last
+    of each bucket that holds it; then buckets that still hold several components, across these.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    text = F.col("text").cast("string")
+    kinds = {f.name: f.dataType.typeName() for f in docs.schema}
+    by = [c for c in docs.columns if c not in ("doc_id", "text") and kinds[c] not in ("map", "variant")]
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text").isNull().alias("t"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(by)))
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(docs.columns)))
+    rows = docs.select(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("_d"), order.alias("_m"), text.alias("_t"), whole.alias("_r")).withColumn("_h", F.xxhash64("_m"))
+
+    @F.pandas_udf("array<long>")
+    def fps(texts: pd.Series) -> pd.Series:
+        out: list = [None] * len(texts)
+        for row, words in document_words(texts.tolist()):
+            out[row] = word_fingerprints(words)
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        out: list = [None] * len(texts)
+        for row, words in document_words(texts.tolist()):
+            out[row] = shingle_set(words)
+        return pd.Series(out, dtype=object)
+
+    prints = rows.select("_d", "_m", fps("_t").alias("fps"))
+    nodes = prints.groupBy("_d").agg(F.min("_m").alias("m"), F.first("fps").alias("fps"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("id"), F.col("_d").alias("d"), "m", F.xxhash64("m").alias("h"), "fps"))
+    masks = covering_masks(radius)
+    few = nodes.select("id", "fps").where("fps is not null")
+    member = few.select("id", F.explode(_buckets(masks)).alias("b"))
+    full = member.groupBy("b").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members")).where("members > 1")
+    member = cut(member.join(full, "b"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of pairs (x, y) those near by a fingerprint that have shingles enough in common."""
+        a, b = (few.select(F.col("id").alias(n), F.col("fps").alias(f"f{n}")) for n in "xy")
+        near = F.exists(F.arrays_zip("fx", "fy"), lambda z: F.bit_count(z["fx"].bitwiseXOR(z["fy"])) <= radius)
+        pairs = cut(pairs.where("x <> y").distinct().join(a, "x").join(b, "y").where(near).select("x", "y"))
+        ids = pairs.select("x").union(pairs.select("y")).distinct()
+        wanted = nodes.join(ids, nodes.id == ids.x, "left_semi").select("id", "d", "h")
+        texts = rows.select("_d", "_h", "_t").join(wanted, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h"))).dropDuplicates(["id"])
+        sets = cut(texts.select("id", shingles("_t").alias("s")))
+        both = pairs.join(sets.withColumnRenamed("id", "x").withColumnRenamed("s", "sx"), "x").join(sets.withColumnRenamed("id", "y").withColumnRenamed("s", "sy"), "y")
+        common = F.size(F.array_intersect("sx", "sy"))
+        enough = common >= similarity * (F.size("sx") + F.size("sy") - common)
+        return cut(both.where(enough).select("x", "y"), pairs, sets)
+
+    ends = F.array(F.col("low"), F.col("high"))
+    star = linked(member.select(F.col("id").alias("x"), F.explode(ends).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    first = connected_components(star, "x", "y").withColumnRenamed("component", "c")
+    named = member.join(first, member.id == first.node, "left").select("b", "id", "members", F.coalesce("c", "id").alias("c"))
+    mixed = named.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("b")
+    rest = cut(named.join(mixed, "b"), member)
+    # large buckets are split once more, by a second family over what the first table left out
+    split = rest.where(F.col("members") > split_at).join(few, "id").select("b", "id", "c", F.explode(_finer(masks, covering_masks(radius, shift=7))).alias("b2"))
+    split = split.union(rest.where(F.col("members") <= split_at).select("b", "id", "c", F.lit(0).cast("long")))
+    other = split.select("b", "b2", F.col("id").alias("y"), F.col("c").alias("cy"))
+    across = linked(split.join(other, ["b", "b2"]).where("c < cy").select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")))
+    label = connected_components(star.union(across), "x", "y").select(F.col("node").alias("id"), F.col("component").alias("c"))
+    return rows, nodes, label
+
+
+def _buckets(masks: list[int]) -> Column:
+    """The buckets of the fingerprints ``fps``: a hash of seed, table and key for each."""
+    keys = lambda f, s: F.transform(F.array(*map(F.lit, masks)), lambda m, t: F.xxhash64(s, t, f.bitwiseAND(m)))
+    return F.flatten(F.transform("fps", keys))
+
+
+def _finer(masks: list[int], second: list[int]) -> Column:
+    """The second keys of ``fps`` in its bucket ``b``, by the second family over the positions beside the bucket's mask."""
+    place = F.array_position(_buckets(masks), F.col("b")).cast("int") - 1
+    f, m = F.get("fps", F.floor(place / len(masks)).cast("int")), F.get(F.array(*map(F.lit, masks)), place % len(masks))
+    return F.transform(F.array(*map(F.lit, second)), lambda x, t: F.xxhash64(t, f.bitwiseAND(x.bitwiseOR(m))))
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near texts, any number of columns, their names free.
+
+    Of a group the row with the smallest doc_id stays, rows without one last; of rows with one doc_id that with a text
+    that isn't null, then that with the least other columns in their order, then that with the least digest of the text. Columns without an order (maps) decide
+    nothing: of rows that differ in nothing else any one stays. A null text is an empty one. Rows that share a doc_id, or
+    have none, are different documents if their texts are.
     """
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    first = near_groups(docs).where("doc_id <=> component_id").select(key.alias("_first")).distinct()
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(key.alias("_k"), *(F.col(c).alias(n) for c, n in zip(docs.columns, names)))
-    kept = rows.join(first, rows["_k"] == first["_first"], "left_semi").dropDuplicates(["_k"])
-    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
+    rows, nodes, label = near_texts(docs, similarity)
+    of = nodes.join(label, "id", "left").groupBy(F.coalesce("c", F.col("id")).alias("c"))
+    first = of.agg(F.min(F.struct("m", "d")).alias("x")).select("x.m", "x.d", F.xxhash64("x.m").alias("h"))
+    same = (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")) & F.col("_m").eqNullSafe(F.col("m"))
+    kept = rows.join(first, same, "left_semi").dropDuplicates(["_d", "_h"])
+    return kept.select(*(F.col(f"_r.r{i}").alias(c) for i, c in enumerate(docs.columns)))

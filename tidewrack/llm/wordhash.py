@@ -8,9 +8,12 @@ spaces between words each character is a word; their marks and the full-width on
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 
+from tidewrack.functions.arrow import text_pieces
+
 WORD = np.array([chr(b).isalnum() or b > 127 for b in range(128)] + [True] * 128)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are hashed at a time, at most: the powers of BASE are kept for so many.
@@ -71,3 +74,24 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = _powers(SPAN)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """Hashes of all words of a text."""
+    parts = [word_hashes(p.lower().encode())[0] for piece in text_pieces([text], SPAN // 8) for _, p in piece]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
+def document_words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, word hashes) of the texts that aren't empty; many short ones are hashed together, a long one piece by piece."""
+    for piece in text_pieces(texts, SPAN // 8):  # a character has four bytes at the most, and may grow by lower()
+        if len(piece) == 1 and len(piece[0][1]) < len(texts[piece[0][0]]):
+            continue
+        lowered = [p.lower().encode() for _, p in piece]
+        h, starts, _ = word_hashes(b"\n".join(lowered))
+        bounds = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in lowered]))
+        whole = [(row, h[bounds[k] : bounds[k + 1]]) for k, (row, p) in enumerate(piece) if len(p) == len(texts[row])]
+        yield from whole
+    for row, text in enumerate(texts):
+        if text and len(text) > SPAN // 8:
+            yield row, words_of(text)
