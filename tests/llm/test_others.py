@@ -98,6 +98,7 @@ def test_commits_are_atomic(spark):
     a._commit(base, "", ())
     with pytest.raises(shards.Conflict):
         b._commit(base, "", ())
+    assert a.manifest() == shards.Manifest(1, "", ())
     assert a.versions() == [1]
     docs = spark.createDataFrame([(1, "a", None, None, None)], DOCS)
     stores = [(shards.ShardStore(spark, path), docs) for _ in range(4)]
@@ -106,6 +107,47 @@ def test_commits_are_atomic(spark):
     assert threading.active_count() > 0
 
 
+def test_vacuum_spares_writers(spark):
+    path = work_dir(spark, "store")
+    docs = spark.createDataFrame([(i, f"t{i}", None, None, None) for i in range(8)], DOCS).repartition(4)
+    a, b = shards.ShardStore(spark, path), shards.ShardStore(spark, path)
+    a.append(docs)
+    folder, files = b._written(docs)  # written, not committed yet
+    assert a.vacuum() == 0
+    base = a.append(docs)
+    with pytest.raises(shards.Conflict):
+        b._commit(a.manifest(base.version - 1), base.schema, files, (folder,))
+    b._commit(base, base.schema, base.shards + files, (folder,))
+    assert a.vacuum() == 0 and a.read().count() == 24 and a._list("intent") == []
+    # of a writer that is long gone: its files go, and it can't commit any more
+    folder, files = b._written(docs)
+    late = shards.ShardStore(spark, path, grace_seconds=-5)
+    assert late.vacuum() == len(files) > 0
+    with pytest.raises(Exception, match="intent"):
+        b._commit(a.manifest(), base.schema, base.shards + files, (folder,))
+    assert a.read().count() == 24
+
+
+def test_compaction_beside_writers(spark, monkeypatch):
+    path = work_dir(spark, "store")
+    docs = spark.createDataFrame([(i, f"t{i}", None, None, None) for i in range(40)], DOCS).repartition(4)
+    a, b = (shards.ShardStore(spark, path, target_bytes=1 << 20, least_bytes=1 << 10) for _ in range(2))
+    a.append(docs)
+    written = a._written
+
+    def then_another(df):
+        out = written(df)
+        monkeypatch.setattr(a, "_written", written)
+        b.append(docs)
+        return out
+
+    monkeypatch.setattr(a, "_written", then_another)
+    a.compact()
+    assert a.read().count() == 80 and len(a.manifest().shards) < 5
+    few = shards.ShardStore(spark, path, target_rows=10)
+    assert few.runs(tuple(shards.Shard(str(i), 10, 4) for i in range(6))) == [[shards.Shard(str(i), 10, 4) for i in p] for p in ((0, 1), (2, 3), (4, 5))]
+
+
 def test_shard_rows(spark, odd, none):
     got = shards.shard_documents(odd, rows_per_shard=2).collect()
     assert len(got) == len(ODD) and {r.doc_id for r in got} == {r[0] for r in ODD}
