@@ -226,6 +226,20 @@ def test_stages_on_odd_rows(spark, odd, none, sf):
         assert stage(spark, none, sf).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert [n.split("_")[0] for n in names if n.split("_")[0][2:].isdigit()] == [f"op{i}" for i in range(1, 11)]

@@ -277,3 +277,6 @@ def shard_documents(docs: DataFrame, path: str | None = None, rows_per_shard: in
         F.sha2("text", 256).alias("text_sha256"),
     )
     return rows.join(names, "_file").select("doc_id", "shard", F.lit(m.version).alias("version"), "n_chars", "text_sha256")
+
+
+ORACLE_SQL = "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM documents"
