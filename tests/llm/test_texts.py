@@ -331,6 +331,20 @@ def test_word_hashes():
     assert len(h) == 4 and h[0] == h[1] and len(set(h.tolist())) == 3 and s.tolist() == [0, 4, 7, 11] and e.tolist() == [2, 6, 10, 14]
 
 
+def test_part_of_a_long_item_and_a_short_one(spark):
+    long = prose(7, 1000).split()
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, "three rare words"), (3, " ".join(long[:40])), (3, " ".join(long[:40]))], "item_id long, text string")
+    odd = [w if i % 6 else "else" for i, w in enumerate(long[600:700])]
+    docs = [
+        (1, "before " + " ".join(long[100:890]) + " after"), (2, " ".join(long[300:339])), (3, "x y " + " ".join(long[300:340])),
+        (4, " ".join(odd)), (5, "here, Three rare: words!"), (6, "three words"), (7, " ".join(long[5:50])), (7, " ".join(long[5:50])),
+    ]
+    got = sorted(map(tuple, decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()))
+    few = max(sum(i % 6 > 0 for i in range(a, a + 50)) for a in range(50))
+    assert got == [(1, 1, 50, 50, 1.0, 1), (3, 1, 40, 50, 0.8, 2), (4, 1, few, 50, few / 50, 1), (5, 2, 3, 3, 1.0, 1),
+                   *sorted([(7, 1, 45, 50, 0.9, 0), (7, 3, 35, 40, 0.875, 0)] * 2)]
+
+
 def test_contaminated_as_brute_force(spark, none):
     r = random.Random(5)
     items = [prose(100 + i, n) for i, n in enumerate((5, 8, 15, 30, 60))]
@@ -352,8 +366,8 @@ def test_contaminated_as_brute_force(spark, none):
     frame = spark.createDataFrame(docs + [(None, items[2], None, None, None), (77, None, None, None, None)], DOCS)
     got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(frame, bench).collect()}
     assert {g for g in got if g[0] is not None} == want and (None, 2) in got
-    parts = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(frame, bench, part_words=20).collect()}
-    assert parts == got
+    full = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(frame, bench, filter_bits=6).collect()}  # all bits are set
+    assert full == got
     kept = decontaminate.without_contaminated(frame, bench)
     assert {x.doc_id for x in kept.collect()} == {d for d, *_ in docs if d not in {w[0] for w in want}} | {77}
     assert decontaminate.contaminated(none, bench).count() == 0

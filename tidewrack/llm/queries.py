@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": secrets.oracle_sql(), "op6_sharding": shards.ORACLE_SQL}
+    return {"op2_decontamination": decontaminate.ORACLE_SQL, "op5_secret_scan": secrets.oracle_sql(), "op6_sharding": shards.ORACLE_SQL}
