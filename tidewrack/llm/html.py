@@ -8,9 +8,14 @@ The labelled pages are made here: many layouts of made-up words, in which every
 construction. They stand in for a hand-labelled set; ``train`` takes any other.
 
 Character references are decoded, white space inside a block becomes one space, a line break counts as white
-space. Scripts, styles and other raw text elements are no blocks. Null, empty and text-less pages give an empty
-text. Elements left open end with the page, stray end tags are passed over. Repeated rows are extracted each;
-other columns are not read.
+space. Scripts, styles and embedded things are no blocks. Null, empty and text-less pages give an empty text.
+Repeated rows are extracted each; other columns are not read.
+
+Any page is read in time linear in its length, at any length, malformed ones as follows. Elements left open end with
+their parent, stray end tags are passed over. ``/>`` closes drawings and formulas, as in HTML, and is else passed
+over. Raw text whose end tag is missing has no content, but a script or style goes to the page's end. A ``<`` that
+opens no tag is text; where a quoted value or a tag never ends, quotes count as other characters and the tag's start as
+text from there on.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from random import Random
@@ -36,92 +42,172 @@ BLOCKS = frozenset(
     "td tfoot th thead tr ul caption head title button select".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes svg math object textarea canvas audio video".split())
+#: Elements whose content is text up to their end tag, and of these those that run to the page's end without one.
+RAW = frozenset("script style iframe noembed noframes textarea xmp".split())
+ENDLESS = frozenset("script style".split())
+#: Elements whose content is read as others' is, but isn't shown; ``/>`` closes the foreign ones.
+HIDDEN = frozenset("noscript template object canvas audio video svg math".split())
+FOREIGN = frozenset("svg math".split())
 #: Elements whose start ends an open paragraph, and elements that end an open one of their own kind.
 ENDS_P = BLOCKS - frozenset("html head body title button select option optgroup caption tbody td tfoot th thead tr dd dt li legend summary".split())
 ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-STOPS = frozenset("ul ol dl table td th body div article section select".split())
+STOPS = frozenset("ul ol dl table td th body div article section select foreignobject".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORDS = re.compile(r"[a-z]+")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The rest of a tag up to its end: a value may be quoted after an equals sign, elsewhere quotes mean nothing.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a block stands: the tags of the blocks around it, the innermost tag, the two innermost blocks, how deep, and what they are named after."""
+
+    inside: frozenset[str] = frozenset()
+    leaf: str = ""
+    last: tuple[str, ...] = ()
+    depth: int = 0
+    groups: frozenset[str] = frozenset()
+
+    def within(self, tag: str, groups: frozenset[str]) -> Place:
+        groups = groups if groups <= self.groups else self.groups | groups
+        if groups <= self.groups:
+            groups = self.groups
+        if tag not in BLOCKS:
+            return Place(self.inside, tag, self.last, self.depth, groups)
+        return Place(self.inside if tag in self.inside else self.inside | {tag}, tag, (*self.last[-1:], tag), min(8, self.depth + 1), groups)
 
 
 @dataclass
 class Block:
-    """A leaf block: its text, the ancestors' tags from the outside in, their attribute words, and link text."""
+    """A leaf block: its text, its place, and the length of link text."""
 
     text: str
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    place: Place
     linked: int = 0
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, is an end tag, name, the rest) of the tags; comments and such have no name."""
+    at, last, quotes = 0, page.rfind(">"), True
+    raw_end: dict[str, bool] = {}
+    while (a := page.find("<", at)) >= 0:
+        c = page[a + 1 : a + 2]
+        if page.startswith("<!--", a):
+            end = page.find("-->", a + 2)
+            at = end + 3 if end >= 0 else len(page)
+            yield a, at, False, "", ""
+            continue
+        if c in ("!", "?"):
+            end = page.find(">", a)
+            at = end + 1 if end >= 0 else len(page)
+            yield a, at, False, "", ""
+            continue
+        closing = c == "/"
+        m = NAME.match(page, a + 1 + closing) if a < last else None
+        if not m:
+            at = a + 1
+            continue
+        rest = REST.match(page, m.end()) if quotes else None
+        if not rest:
+            quotes = False
+            end = page.find(">", m.end())
+            if end < 0:
+                at = a + 1
+                continue
+            end += 1
+        else:
+            end = rest.end()
+        tag, attributes = m[0].lower(), page[m.end() : end - 1]
+        yield a, end, closing, tag, attributes
+        at = end
+        if not closing and tag in RAW:
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, end) if raw_end.get(tag, True) else None
+            raw_end[tag] = bool(close)
+            if close:
+                at = close.start()
+            elif tag in ENDLESS:
+                at = len(page)
+            if at > end:
+                yield end, at, False, "", ""
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, Place]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    links = linked = 0
+    links = linked = hidden = 0
+    page, at = page or "", 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-            out.append(Block(text, tuple(t for t, _ in stack), names, min(linked, len(text))))
+            out.append(Block(text, stack[-1][1] if stack else Place(), min(linked, len(text))))
         parts.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         if any(t in BLOCKS for t, _ in stack[upto:]):
             flush()
-        links -= sum(t == "a" for t, _ in stack[upto:])
+        for t, _ in stack[upto:]:
+            opened[t] -= 1
+            links -= t == "a"
+            hidden -= t in HIDDEN
         del stack[upto:]
 
-    page, at = page or "", 0
-    while at < len(page):
-        m = TAG.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
+    def shown(text: str) -> None:
+        nonlocal linked
+        if text and not hidden:
             parts.append(text)
             if links:
                 linked += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+
+    for start, end, closing, tag, attributes in tags_of(page):
+        shown(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
+            if not opened[tag]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close(k)
                     break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
+                if tag not in BLOCKS and stack[k][0] in BLOCKS and tag not in HIDDEN:
                     break  # an inline end tag doesn't end a block
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            parts.append(" ")
-            continue
-        if tag == "br":
-            parts.append(" ")
+        if tag in RAW or tag == "br":
+            shown(" ")
             continue
+        if tag in BLOCKS and tag != "title" and any(opened[t] for t in FOREIGN) and not opened["foreignobject"]:
+            close(next(k for k, (t, _) in enumerate(stack) if t in FOREIGN))  # a block doesn't stand in a drawing
         if tag in BLOCKS:
-            flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if tag in ENDS_P and stack[k][0] == "p" or stack[k][0] in ENDS_OWN.get(tag, ()):
-                    close(k)
-                    break
-                if stack[k][0] in STOPS:
-                    break
-        if tag not in VOID and not m[3].endswith("/"):
-            names = frozenset(w for a in ATTRIBUTE.finditer(m[3]) for w in WORDS.findall((a[2] or a[3] or a[4] or "").lower()))
-            stack.append((tag, names))
-            links += tag == "a"
+            if not hidden:
+                flush()
+            own = ENDS_OWN.get(tag, ())
+            if tag in ENDS_P and opened["p"] or any(opened[t] for t in own):
+                for k in range(len(stack) - 1, -1, -1):
+                    if tag in ENDS_P and stack[k][0] == "p" or stack[k][0] in own:
+                        close(k)
+                        break
+                    if stack[k][0] in STOPS:
+                        break
+        if tag in VOID or tag in FOREIGN and attributes.endswith("/"):
+            continue
+        if tag in HIDDEN:
+            shown(" ")
+        groups = frozenset(GROUP[w] for x in ATTRIBUTE.finditer(attributes) for w in map(str.lower, WORDS.findall(x[2] or x[3] or x[4] or "")) if w in GROUP)
+        stack.append((tag, (stack[-1][1] if stack else Place()).within(tag, groups)))
+        opened[tag] += 1
+        links += tag == "a"
+        hidden += tag in HIDDEN
+    shown(page[at:])
     flush()
     return out
 
@@ -151,11 +237,9 @@ def _slot(name: str) -> int:
 
 
 @functools.lru_cache(maxsize=100_000)
-def _place_features(tags: tuple[str, ...], names: frozenset[str]) -> tuple[int, ...]:
-    out = {f"in:{t}" for t in tags if t in BLOCKS} | {f"leaf:{tags[-1] if tags else ''}"}
-    blocks = [t for t in tags if t in BLOCKS]
-    out |= {f"leaf2:{'/'.join(blocks[-2:])}", f"depth:{min(8, len(blocks))}"}
-    out |= {f"named:{GROUP[w]}" for w in names if w in GROUP}
+def _place_features(place: Place) -> tuple[int, ...]:
+    out = {f"in:{t}" for t in place.inside} | {f"leaf:{place.leaf}", f"leaf2:{'/'.join(place.last)}", f"depth:{place.depth}"}
+    out |= {f"named:{g}" for g in place.groups}
     return tuple(_slot(x) for x in sorted(out))
 
 
@@ -184,7 +268,7 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
             ("first", i == 0),
             ("last", i == len(blocks) - 1),
         )
-        out.append([*_place_features(b.tags, b.names), *(_shape_slot(k, int(v)) for k, v in shape)])
+        out.append([*_place_features(b.place), *(_shape_slot(k, int(v)) for k, v in shape)])
     return out
 
 
@@ -307,7 +391,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[int]]]:
                 c = r.choice(['aside', 'div class="sidebar"', 'div id="sidebar"', 'div class="related"', 'section class="widget"'])
                 add(f"<{c}><h3>{word()}</h3><p>{few()}</p></{c.split()[0]}>", 0, 2)
             elif kind == 3:
-                c = r.choice(["cookie-notice", "consent", "notice", "alert", "cookie", "popup"])
+                c = r.choice(["cookie-notice", "consent", "notice", "alert", "cookie", "popup", "siteNotice", "cookieBanner"])
                 add(f'<div class="{c}"><p>{few()}</p><button>{word()}</button></div>', 0, 2)
             elif kind == 4:
                 c = r.choice(["", ' class="newsletter"', ' id="search"', ' class="subscribe"'])
@@ -328,7 +412,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[int]]]:
                 add(f'<div class="{c}"><a href="#">{word()}</a> <a href="#">{word()}</a></div>')
 
         def article() -> None:
-            open_, close_ = r.choice([("<article>", "</article>")] * 3 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><article>', "</article></div>"), ('<div class="post entry">', "</div>"), ('<main><div class="article-body">', "</div></main>"), ('<article class="post">', "</article>")])
+            open_, close_ = r.choice([("<article>", "</article>")] * 3 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><article>', "</article></div>"), ('<div class="post entry">', "</div>"), ('<main><div class="article-body">', "</div></main>"), ('<article class="post">', "</article>"), ("", ""), ("", ""), ('<div class="wrap"><div class="post-body">', "</div></div>"), ('<table><tr><td class="content">', "</td></tr></table>"), ("<table><tr><td>", "</td></tr></table>"), ("<div><div>", "</div></div>")])
             out.append(open_)
             if r.random() < 0.85:
                 add(f"<h1>{r.choice([sentence(2, 10), ' '.join(word() for _ in range(6))])}</h1>", 1)
@@ -339,14 +423,25 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[int]]]:
                 elif x < 0.82:
                     add(f"<p><b>{sentence()}<br>", 1)
                 elif x < 0.88:
-                    add(f"<h2>{word()} {word()}</h2>", 1)
+                    h = r.choice(["h2", "h2", "h3", "h4"])
+                    add(f"<{h}>{' '.join(word() for _ in range(r.randint(1, 6)))}</{h}>", 1)
                 elif x < 0.92:
                     k = r.randint(1, 4)
                     add("<ul>" + "".join(f"<li>{few()}</li>" for _ in range(k)) + "</ul>", 1, k)
                 elif x < 0.95:
                     add(f"<blockquote>{r.choice(['<p>', ''])}{prose()}</blockquote>", 1)
-                elif x < 0.97:
+                elif x < 0.96:
                     add(f"<pre>{sentence()}</pre>", 1)
+                elif x < 0.97:
+                    k = r.randint(1, 4)
+                    add("<table>" + "".join(f"<tr><th>{word()}</th><td>{few()}</td></tr>" for _ in range(k)) + "</table>", 1, 2 * k)
+                elif x < 0.98:
+                    k = r.randint(1, 4)
+                    c = r.choice(['aside class="related"', "aside", 'div class="related-stories"', 'section class="more"'])
+                    add(f"<{c}><h4>{word()} {word()}</h4><ul>{links(k)}</ul></{c.split()[0]}>", 0, k + 1)
+                elif x < 0.985:
+                    c = r.choice(["p", "div"])
+                    add(f'<{c} class="{r.choice(["byline", "post-meta", "date", "author"])}">{word()} <a href="/">{word()} {word()}</a></{c}>', 0)
                 else:
                     add(f'<div class="{r.choice(["ad", "promo", "share", "newsletter", "related"])}">{few()}</div>')
             out.append(close_)
