@@ -6,6 +6,8 @@ variable's declaration is its first event with is_decl, else its first event.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def mutations(events: DataFrame, slices: DataFrame) -> DataFrame:
 def outputs(events: DataFrame, slices: DataFrame, loops: DataFrame | None = None) -> DataFrame:
     """(unit, slice, var): declared or written in the slice and read after it.
 
-    Also what a loop carries: with ``loops`` (unit, loop_first, loop_last, carry) around the slice, variables
+    Also what a loop carries: with ``loops`` (unit, loop_first, loop_last, carry) that begin before the slice and hold it, variables
     written in the slice, declared before ``carry`` and read anywhere in the loop.
     """
     made = usages(events, slices).where(F.col("is_write") | (F.col("declared") >= F.col("first")))
@@ -50,7 +52,7 @@ def outputs(events: DataFrame, slices: DataFrame, loops: DataFrame | None = None
     out = made.join(last_read, ["unit", "var"]).where("last_read > last").select("unit", "slice", "var").distinct()
     if loops is not None:
         inside = _places(loops, "loop_first", "loop_last")
-        around = slices.withColumn("at", F.col("first")).join(inside, ["unit", "at"]).where("last <= loop_last").select("unit", "slice", "loop_first", "loop_last")
+        around = slices.withColumn("at", F.col("first")).join(inside, ["unit", "at"]).where("loop_first < first and last <= loop_last").select("unit", "slice", "loop_first", "loop_last")
         read = reads.join(inside, ["unit", "at"]).join(declarations(events), ["unit", "var"]).where("declared < carry")
         carried = made.where("is_write").select("unit", "slice", "var").distinct().join(around, ["unit", "slice"])
         carried = carried.join(read, ["unit", "var", "loop_first", "loop_last"], "left_semi").select("unit", "slice", "var")
@@ -73,19 +75,22 @@ def extractable(slices: DataFrame, leaving: DataFrame) -> DataFrame:
     return slices.join(n, ["unit", "slice"], "left").select("unit", "slice", F.col("n").isNull().alias("is_clean"))
 
 
-def signature(name: str, ins: list[tuple[str, str]], outs: list[tuple[str, str]], is_async: bool = False) -> str:
-    """The signature of an extracted function; several outputs become a record with named fields."""
+def signature(name: str, ins: list[tuple[str, str]], outs: list[tuple[str, str]], is_async: bool = False, type_params: list[str] | None = None) -> str:
+    """The signature of an extracted function; several outputs become a record with named fields.
+
+    A field is the variable's name without underscores in front, ``result`` if nothing is left, with the least number
+    from 2 behind it that makes it unlike the fields before.
+    """
     if not outs:
         result = "void"
     elif len(outs) == 1:
         result = outs[0][1]
     else:
-        used: dict[str, int] = {}
-        fields = []
+        fields: dict[str, str] = {}
         for var, kind in outs:
-            field = var.lstrip("_") or var
-            used[field] = used.get(field, 0) + 1
-            fields.append(f"{kind} {field if used[field] == 1 else f'{field}{used[field]}'}")
-        result = "({" + ", ".join(fields) + "})"
+            plain = var.lstrip("_") or "result"
+            fields[next(f for n in itertools.count(1) if (f := plain if n == 1 else f"{plain}{n}") not in fields)] = kind
+        result = "({" + ", ".join(f"{kind} {f}" for f, kind in fields.items()) + "})"
     params = ", ".join(f"{kind} {var}" for var, kind in ins)
-    return f"Future<{result}> {name}({params}) async" if is_async else f"{result} {name}({params})"
+    generic = f"<{', '.join(type_params)}>" if type_params else ""
+    return f"Future<{result}> {name}{generic}({params}) async" if is_async else f"{result} {name}{generic}({params})"

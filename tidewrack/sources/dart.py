@@ -97,7 +97,8 @@ def declarations(tokens: list[Token]) -> list[Declaration]:
                 i, start = i + 1, i + 1
                 continue
             body, head = -1, -1
-            if t.text == "(" and i in pair and i > start and tokens[i - 1].kind == "name" and tokens[i - 1].text not in RESERVED:
+            named = _name_before(tokens, start, i)
+            if t.text == "(" and i in pair and named >= 0 and tokens[named].text not in RESERVED:
                 head, body = i, pair[i] + 1
             elif t.text in ("{", "=>") and any(x.text == "get" for x in tokens[start:i]):
                 head, body = i, i
@@ -109,8 +110,8 @@ def declarations(tokens: list[Token]) -> list[Declaration]:
                         body = pair.get(body, body) + 1 if tokens[body].text in "([" else body + 1
                 if body < end and tokens[body].text in ("{", "=>"):
                     last = pair.get(body, end - 1) if tokens[body].text == "{" else _until_semicolon(tokens, pair, body, end)
-                    before = tokens[start:i]
-                    name = tokens[i - 1].text
+                    before = tokens[start : named + 1] if named >= 0 else tokens[start:i]
+                    name = before[-1].text
                     if len(before) > 2 and before[-2].text == ".":
                         name = before[-3].text + "." + name
                     prefix = next((x.text + " " for x in before[-2:] if x.text in ("get", "set")), "")
@@ -126,6 +127,18 @@ def declarations(tokens: list[Token]) -> list[Declaration]:
     return out
 
 
+def _name_before(tokens: list[Token], start: int, i: int) -> int:
+    """The place of the name right before i, or before the type parameters there; -1 if there is none after start."""
+    j, depth = i - 1, 0
+    if j > start and tokens[j].text == ">":
+        while j > start:
+            depth += {">": 1, "<": -1}.get(tokens[j].text, 0)
+            j -= 1
+            if not depth:
+                break
+    return j if j >= start and tokens[j].kind == "name" and (j < i - 1 or depth == 0) else -1
+
+
 def _until_semicolon(tokens, pair, i, end) -> int:
     while i < end and tokens[i].text != ";":
         i = pair[i] + 1 if tokens[i].text in "([{" and pair.get(i, -1) > i else i + 1

@@ -32,7 +32,7 @@ TYPES = {"class": "class", "mixin": "mixin", "enum": "enum", "extension": "exten
 TEST_CALLS = (*TESTS, "testWidgets")
 
 COMMENT = re.compile(r"""(?P<quoted>r?'''.*?'''|r?\"\"\".*?\"\"\"|r'[^'\n]*'|r"[^"\n]*"|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*")|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))""", re.S)
-SIMPLE = re.compile(r"\$([A-Za-z_]\w*)")
+INTERPOLATION = re.compile(r"(?<!\\)\$(?:([A-Za-z_]\w*)|\{)")
 WORD = re.compile(r"[A-Za-z_$][\w$]*")
 
 
@@ -93,19 +93,19 @@ def _unquoted(text: str) -> str:
     return text[n : len(text) - n if len(text) >= 2 * n else None]
 
 
-def _in_string(text: str) -> Iterator[str]:
-    """The names in a string's interpolations."""
-    if text[:1] == "r":
-        return
-    yield from SIMPLE.findall(text)
-    at = 0
-    while (a := text.find("${", at)) >= 0:
-        depth, b = 1, a + 2
-        while b < len(text) and depth:
-            depth += {"{": 1, "}": -1}.get(text[b], 0)
-            b += 1
-        yield from WORD.findall(text[a + 2 : b])
-        at = b
+def names_in_string(text: str) -> Iterator[str]:
+    """The names in a string's interpolations, in order."""
+    at = len(text) if text[:1] == "r" else 0
+    while m := INTERPOLATION.search(text, at):
+        at = m.end()
+        if m[1]:
+            yield m[1]
+            continue
+        depth = 1
+        while at < len(text) and depth:
+            depth += {"{": 1, "}": -1}.get(text[at], 0)
+            at += 1
+        yield from WORD.findall(text[m.end() : at])
 
 
 def used_names(tokens: list[Token], first: int, last: int) -> list[str]:
@@ -114,7 +114,7 @@ def used_names(tokens: list[Token], first: int, last: int) -> list[str]:
     for i in range(first, last + 1):
         t = tokens[i]
         if t.kind == "string":
-            out.update(n for n in _in_string(t.text) if n not in RESERVED)
+            out.update(n for n in names_in_string(t.text) if n not in RESERVED)
         if t.kind != "name" or t.text in RESERVED:
             continue
         before = tokens[i - 1].text if i > first else ""
