@@ -151,18 +151,23 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(mixed(out)).view("i8")
 
 
-def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_at: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_at: int = 256, rounds: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, label) of ``docs`` by their texts.
 
     ``rows`` are the input's: _d, the text's digest, _m, all other columns that have an order, _h, a hash of _m, _t,
     the text, and _r, the whole row. ``nodes``: a row (id, d, m, h, fps) for each distinct text, m the least _m; ``label``
-    (id, c): the texts that are linked to others, and their component. Two texts are linked if ``similarity`` of
+    (id, c): the texts that are linked to others, and their component. Two texts are linked only if ``similarity`` of
     their shingles of five words are common, so texts without a word are linked to equal ones only.
 
     Candidates are texts of which one of three fingerprints over the distinct words is within ``radius``. A word
     that differs spoils five shingles but one of the words, so these are closer than those over shingles: pairs at
-    0.8 of the shingles are mostly within four bits of 64. First each text is compared with the first and the last
-    of each bucket that holds it; then buckets that still hold several components, across these.
+    0.8 of the shingles are mostly within four bits of 64.
+
+    A group of thousands of copies isn't compared pair by pair. In each round every bucket has a pivot, in the first
+    one with the commonest fingerprint, which lightly changed copies share with what they were copied from, and its
+    members outside of the pivot's component are compared with it. At last buckets that still hold several
+    components compare one member of each with those of all others. So a text meets some members of a large
+    component, not all; one that is near none of these stays by itself.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -190,17 +195,10 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
     prints = rows.select("_d", "_m", fps("_t").alias("fps"))
     nodes = prints.groupBy("_d").agg(F.min("_m").alias("m"), F.first("fps").alias("fps"))
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("id"), F.col("_d").alias("d"), "m", F.xxhash64("m").alias("h"), "fps"))
-    masks = covering_masks(radius)
-    few = nodes.select("id", "fps").where("fps is not null")
-    member = few.select("id", F.explode(_buckets(masks)).alias("b"))
-    full = member.groupBy("b").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members")).where("members > 1")
-    member = cut(member.join(full, "b"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (x, y) those near by a fingerprint that have shingles enough in common."""
-        a, b = (few.select(F.col("id").alias(n), F.col("fps").alias(f"f{n}")) for n in "xy")
-        near = F.exists(F.arrays_zip("fx", "fy"), lambda z: F.bit_count(z["fx"].bitwiseXOR(z["fy"])) <= radius)
-        pairs = cut(pairs.where("x <> y").distinct().join(a, "x").join(b, "y").where(near).select("x", "y"))
+        """Of near pairs (x, y) those that have shingles enough in common."""
+        pairs = cut(pairs.distinct())
         ids = pairs.select("x").union(pairs.select("y")).distinct()
         wanted = nodes.join(ids, nodes.id == ids.x, "left_semi").select("id", "d", "h")
         texts = rows.select("_d", "_h", "_t").join(wanted, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h"))).dropDuplicates(["id"])
@@ -210,34 +208,46 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
         enough = common >= similarity * (F.size("sx") + F.size("sy") - common)
         return cut(both.where(enough).select("x", "y"), pairs, sets)
 
-    ends = F.array(F.col("low"), F.col("high"))
-    star = linked(member.select(F.col("id").alias("x"), F.explode(ends).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
-    first = connected_components(star, "x", "y").withColumnRenamed("component", "c")
-    named = member.join(first, member.id == first.node, "left").select("b", "id", "members", F.coalesce("c", "id").alias("c"))
-    mixed = named.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("b")
-    rest = cut(named.join(mixed, "b"), member)
+    masks, key = covering_masks(radius), ["t", "k"]
+    each = nodes.select("id", F.posexplode("fps").alias("seed", "fp"))
+    common = each.groupBy("seed", "fp").agg(F.count("*").alias("n"))
+    # what makes a pivot: how many texts have the fingerprint, then a hash
+    weight = F.shiftleft(F.least("n", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    each = each.join(common, ["seed", "fp"]).select("id", "seed", "fp", weight.alias("weight"))
+    spread = each.select("id", "fp", "weight", "seed", F.posexplode(F.array(*map(F.lit, masks))).alias("i", "mask"))
+    member = spread.select((F.col("seed") * len(masks) + F.col("i")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "id", "fp", "weight")
+    full = member.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1").select(*key)
+    member = cut(member.join(full, key))
+
+    links = None
+    label = spark.createDataFrame([], "id long, c long")
+    for r in range(rounds):
+        named = member.join(label, "id", "left").select(*key, "id", "fp", "weight", F.coalesce("c", "id").alias("c"))
+        by_ = F.col("weight") if r == 0 else F.xxhash64("id", F.lit(r))
+        pivot = named.groupBy(*key).agg(*(F.max_by(c, by_).alias(f"p{c}") for c in ("id", "fp", "c")), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        star = named.join(pivot.drop("c0", "c1"), key).where((F.col("c") != F.col("pc")) & _near("fp", "pfp", radius))
+        found = linked(star.select(F.least("id", "pid").alias("x"), F.greatest("id", "pid").alias("y")))
+        links = found if links is None else links.union(found)
+        label = connected_components(links, "x", "y").select(F.col("node").alias("id"), F.col("component").alias("c"))
+    # one member of each component that a bucket holds, if it holds several
+    named = member.join(label, "id", "left").select(*key, "id", "fp", F.coalesce("c", "id").alias("c"))
+    one = named.groupBy(*key, "c").agg(F.min("id").alias("id"), F.min_by("fp", "id").alias("fp"))
+    several = one.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
+    rest = cut(one.join(several, key), member)
     # large buckets are split once more, by a second family over what the first table left out
-    split = rest.where(F.col("members") > split_at).join(few, "id").select("b", "id", "c", F.explode(_finer(masks, covering_masks(radius, shift=7))).alias("b2"))
-    split = split.union(rest.where(F.col("members") <= split_at).select("b", "id", "c", F.lit(0).cast("long")))
-    other = split.select("b", "b2", F.col("id").alias("y"), F.col("c").alias("cy"))
-    across = linked(split.join(other, ["b", "b2"]).where("c < cy").select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")))
-    label = connected_components(star.union(across), "x", "y").select(F.col("node").alias("id"), F.col("component").alias("c"))
+    mask_of = F.get(F.array(*map(F.lit, masks)), F.col("t") % len(masks))
+    finer = F.transform(F.array(*map(F.lit, covering_masks(radius, shift=7))), lambda m, t: F.xxhash64(t, F.col("fp").bitwiseAND(m.bitwiseOR(mask_of))))
+    split = rest.select(*key, "id", "fp", "c", F.explode(F.when(F.col("members") > split_at, finer).otherwise(F.array(F.lit(0).cast("long")))).alias("k2"))
+    other = split.select(*key, "k2", F.col("id").alias("y"), F.col("fp").alias("fpy"), F.col("c").alias("cy"))
+    # a pair is taken in the first table of its seed that holds both
+    apart = F.col("fp").bitwiseXOR(F.col("fpy"))
+    first = F.array_position(F.transform(F.array(*map(F.lit, masks)), lambda m: apart.bitwiseAND(m) == 0), F.lit(True)) - 1
+    pairs = split.join(other, [*key, "k2"]).where((F.col("c") < F.col("cy")) & _near("fp", "fpy", radius) & (first == F.col("t") % len(masks)))
+    across = linked(pairs.select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")))
+    label = connected_components(links.union(across), "x", "y").select(F.col("node").alias("id"), F.col("component").alias("c"))
     return rows, nodes, label
 
 
-def _buckets(masks: list[int]) -> Column:
-    """The buckets of the fingerprints ``fps``: a hash of seed, table and key for each."""
-    keys = lambda f, s: F.transform(F.array(*map(F.lit, masks)), lambda m, t: F.xxhash64(s, t, f.bitwiseAND(m)))
-    return F.flatten(F.transform("fps", keys))
-
-
-def _finer(masks: list[int], second: list[int]) -> Column:
-    """The second keys of ``fps`` in its bucket ``b``, by the second family over the positions beside the bucket's mask."""
-    place = F.array_position(_buckets(masks), F.col("b")).cast("int") - 1
-    f, m = F.get("fps", F.floor(place / len(masks)).cast("int")), F.get(F.array(*map(F.lit, masks)), place % len(masks))
-    return F.transform(F.array(*map(F.lit, second)), lambda x, t: F.xxhash64(t, f.bitwiseAND(x.bitwiseOR(m))))
-
-
 def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near texts, any number of columns, their names free.
 
