@@ -254,6 +254,36 @@ def test_neighbours(spark, kind):
     assert hits >= 0.95 * 20 * len(want)
 
 
+def test_hot_blocks_and_hubs(spark, monkeypatch):
+    """Two thirds of the vectors are near copies: blocks in windows over several chunks."""
+    monkeypatch.setattr(neighbours, "CHUNK", 700)
+    r = np.random.default_rng(5)
+    x = r.standard_normal((1500, 12))
+    x[500:] = x[0] + 0.05 * r.standard_normal((1000, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    index = neighbours.NeighbourIndex(spark.createDataFrame(rows, "vec_id long, vec array<double>"), leaf=64, trees=6)
+    got = index.search(spark.createDataFrame([r for r in rows if r[0] % 20 == 0], "query_id long, vec array<double>"), 20).collect()
+    want = brute(rows, 20, 20)
+    hits = sum(len({g.vec_id for g in got if g.query_id == q} & {i for _, i in w}) for q, w in want.items())
+    assert len(got) == 20 * len(want) and hits >= 0.9 * len(got)
+
+
+def test_drawn():
+    r = np.random.default_rng(2)
+    owner, member = r.integers(0, 5, 900), r.permutation(900)
+    kept = neighbours._drawn(owner, member, 7, 24)
+    assert np.bincount(owner[kept]).tolist() == [24] * 5
+    part = neighbours._drawn(owner[:400], member[:400], 7, 24)
+    both = np.concatenate([part, np.arange(400, 900)])
+    assert set(both[neighbours._drawn(owner[both], member[both], 7, 24)]) == set(kept)  # in any number of steps
+
+
+def test_mixed_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.9, 0.1]), (40, [1.0, 2.0, 3.0]), (2, [9.0]), (60, [7.0])]
+    got = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 20), (0, 2, 1), (20, 1, 0), (20, 2, 1)]
+
+
 def test_few_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.nearest_neighbours(spark.createDataFrame([], schema)).count() == 0

@@ -46,12 +46,23 @@ def test_byte_bpe_as_tiktoken(bpe):
         assert bytebpe.decoded_bytes(got, RANKS) == t.encode()
 
 
+def test_offsets_as_library():
+    enc, t = bytebpe.encoder(RANKS, P.PATTERN), bytebpe.library_tokenizer(RANKS, P.PATTERN)
+    t.encode_special_tokens = True
+    texts = odd_texts(1000, 8)
+    for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        starts, ends = bytebpe.offsets_of(enc.ids(x), x.encode(), RANKS)
+        assert list(zip(starts.tolist(), ends.tolist())) == e.offsets, repr(x)
+
+
 def test_byte_bpe_rows(spark, odd, none, bpe):
     got = sorted(map(tuple, bytebpe.round_trip(odd, RANKS, P.PATTERN).collect()), key=repr)
     want = []
     for d, t, *_ in ODD:
         ids = bpe.encode_ordinary(t or "")
-        want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+        places = bytebpe.library_tokenizer(RANKS, P.PATTERN).encode(t or "", add_special_tokens=False).offsets
+        offsets = np.array(places, "<u4").reshape(-1, 2).T.tobytes()
+        want.append((d, len(ids), *(hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), (t or "").encode(), offsets))))
     assert got == sorted(want, key=repr)
     assert bytebpe.round_trip(none, RANKS, P.PATTERN).count() == 0
 
@@ -109,6 +120,11 @@ def test_token_files(spark, odd, none, monkeypatch):
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
+    least = spark.createDataFrame([(-(1 << 63), "a"), (None, "b"), (None, "c"), (None, "b")], "doc_id long, text string").repartition(3)
+    folder = work_dir(spark, "t")
+    tokenfile.write_corpus(least, WORD_FILE, folder)
+    back = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenfile.read_corpus(spark, folder).collect())
+    assert [b[1] for b in back] == [None] * 3 + [-(1 << 63)] and [b[0] for b in back] == [0, 2, 4, 6]
     empty = work_dir(spark, "t")
     assert tokenfile.write_corpus(none, WORD_FILE, empty)[0] == []
     assert tokenfile.read_corpus(spark, empty).count() == 0
@@ -119,7 +135,7 @@ def test_document_over_several_blocks(tmp_path):
     f = tmp_path / "x.tok"
     f.write_bytes(tokenfile.block_bytes([5], [4], numbers[:4]) + tokenfile.block_bytes([5, 6], [4 | tokenfile.GOES_ON, 2], numbers[4:]))
     back = list(tokenfile.read_blocks(str(f)))
-    assert [b[0].tolist() for b in back] == [[5], [5, 6]]
+    assert [b[0] for b in back] == [[5], [5, 6]]
     assert np.concatenate([b[2] for b in back]).tolist() == list(range(10))
 
 

@@ -6,15 +6,19 @@ inner products of vectors of any lengths. The graph works on eight-bit codes of
 returns is scored again in double precision on the vectors themselves.
 
 Building: random hyperplanes cut the vectors into blocks, several times, and each block's nearest start the
-lists. Then rounds of joins: each node brings its neighbours and a sample of the nodes that name it together,
-and every pair of them of which one is new is offered to both. Lists keep the ``k`` nearest.
+lists. Blocks lie in order along one more direction and are dealt by ranges of it, so that a block of many near
+vectors is split over tasks; a large one is compared in overlapping windows of that order. Then rounds of joins: each
+node brings its neighbours and a sample of the nodes that name it together, and every pair of them of which one
+is new is offered to both. The sample is those least by a hash; each task keeps no more of a node's than the sample
+takes, so a node that very many name stays small. Lists keep the ``k`` nearest.
 
 Searching: a query starts at an entry of the graph, itself if it is one of the rows; each hop joins the best
-nodes that aren't expanded yet with their lists, and what is new with the codes, and keeps the best ``width``.
+nodes that aren't expanded yet with their lists, and what is new with the codes, and keeps the best ``width``. A
+search ends when all of its best ``settled`` nodes are expanded, after as many hops as that takes.
 
 Equal vectors are one node, which stands for the smallest ``k_results`` + 1 of their ids, so a group of copies
-costs one node; its result lists the ids in order. Vectors that are null, zero, of another length than most or hold a null
-or a number that isn't finite take no part. An empty table gives an empty result.
+costs one node; its result lists the ids in order. Vectors that are null, zero, of another length than most (of the
+smaller one, if two are as frequent) or hold a null or a number that isn't finite take no part. An empty table gives an empty result.
 
 All steps between joins are mapInArrow over sorted partitions that hold one chunk of rows at a time.
 """
@@ -22,12 +26,14 @@ All steps between joins are mapInArrow over sorted partitions that hold one chun
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.llm.wordhash import mixed
 from tidewrack.plans.lineage import cut
 
 CHUNK = 20_000
@@ -39,10 +45,11 @@ def usable(vec: Column) -> Column:
     return F.coalesce(ok & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _keyed(key: str, handle: Callable) -> Callable:
+def _keyed(key: str, handle: Callable, overlap: int | None = None) -> Callable:
     """A mapInArrow function: ``handle`` gets the columns of whole runs of equal keys, in chunks of about CHUNK rows.
 
-    The partition must be sorted by the key. A key's rows are bounded by what was dealt to it before.
+    The partition must be sorted by the key. A key's rows are bounded by what was dealt to it before, or, with
+    ``overlap``, come in chunks of which each starts with so many of the last rows of the one before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +66,9 @@ def _keyed(key: str, handle: Callable) -> Callable:
             end = int(np.searchsorted(keys, keys[-1], "left"))
             if end:
                 yield from handle(t.slice(0, end))
+            elif overlap is not None:
+                yield from handle(t)
+                end = t.num_rows - overlap
             held, rows = t.slice(end).to_batches(), t.num_rows - end
         if held:
             yield from handle(pa.Table.from_batches(held).combine_chunks())
@@ -89,6 +99,15 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
+def _drawn(owner: np.ndarray, member: np.ndarray, seed: int, most: int) -> np.ndarray:
+    """Places of the ``most`` members of each owner that are least by a hash of the two."""
+    salt = mixed(np.array([seed], np.uint64))
+    h = mixed(mixed(member.astype("i8").view("u8") ^ salt) + owner.astype("i8").view("u8"))
+    order = np.lexsort((h, owner))
+    sorted_ = owner[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_, sorted_, "left") < most]
+
+
 NEIGHBOUR = np.dtype([("id", "<i8"), ("sim", "<f4"), ("new", "u1")])
 
 
@@ -125,7 +144,7 @@ class NeighbourIndex:
         nodes = named.groupBy("vec").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
         self.nodes = cut(nodes.select("id", "vec", "ids"))
         norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-        size = self.nodes.agg(F.max(norm).alias("m"), F.count("*").alias("n"), F.mode(F.size("vec")).alias("d")).first()
+        size = self.nodes.agg(F.max(norm).alias("m"), F.count("*").alias("n"), F.mode(F.size("vec"), deterministic=True).alias("d")).first()
         self.n, self.largest, self.dims = size.n, size.m or 1.0, (size.d or 0)
         self.codes = cut(self.nodes.where(F.size("vec") == self.dims).select("id", self._code()("vec").alias("code")))
         self.graph = self._built()
@@ -161,7 +180,7 @@ class NeighbourIndex:
             return self.spark.createDataFrame([], "id long, list binary")
         graph = cut(self._merged(self._blocks(), None))
         for i in range(self.rounds):
-            graph = cut(self._merged(self._offers(graph, i), graph))
+            graph = cut(self._merged(self._offers(graph, i), graph), graph)
         return graph
 
     def _merged(self, offers: DataFrame, graph: DataFrame | None) -> DataFrame:
@@ -185,7 +204,7 @@ class NeighbourIndex:
         """Each tree's blocks, and in each block every node's nearest."""
         levels = max(0, int(np.ceil(np.log2(max(1, self.n) / self.leaf))))
         rng = np.random.default_rng(self.seed)
-        planes = self.spark.sparkContext.broadcast(rng.standard_normal((self.trees, self.dims + 1, max(1, levels))).astype("f4"))
+        planes = self.spark.sparkContext.broadcast(rng.standard_normal((self.trees, self.dims + 1, levels + 1)).astype("f4"))
         width, k, leaf, trees = self.width, max(8, self.k // 2), self.leaf, self.trees
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,21 +213,22 @@ class NeighbourIndex:
                     continue
                 x = _matrix(b.column(1), "i1", width)[:, 4:].astype("f4")
                 for t in range(trees):
-                    side = (x @ planes.value[t] > 0)[:, :levels] if levels else np.zeros((len(x), 0), bool)
-                    block = side @ (1 << np.arange(levels, dtype=np.int64)) + (t << 48)
-                    yield pa.record_batch([pa.array(block.astype(np.int64)), b.column(0), b.column(1)], ["block", "id", "code"])
+                    y = x @ planes.value[t]
+                    block = (y[:, :levels] > 0) @ (1 << np.arange(levels, dtype=np.int64)) + (t << 48)
+                    yield pa.record_batch([pa.array(block.astype(np.int64)), pa.array(y[:, levels]), b.column(0), b.column(1)], ["block", "along", "id", "code"])
 
         def nearest(t: pa.Table) -> Iterator[pa.RecordBatch]:
             keys, ids = t.column("block").to_numpy(), t.column("id").to_numpy()
             x = _vectors(t.column("code"), width)
             bounds = _runs(keys)
             for a, b in zip(bounds[:-1], bounds[1:]):
-                parts = max(1, (b - a) // (4 * leaf))  # a block of many near copies is compared in parts
-                for s in (slice(a + p, b, parts) for p in range(parts)):
+                whole = b - a <= 4 * leaf
+                for at in range(a, b, b - a if whole else leaf):  # a large block is compared in windows
+                    s = slice(at, b if whole else min(b, at + 2 * leaf))
                     own, v = ids[s], x[s]
                     if len(own) < 2:
                         continue
-                    sim = v @ v.T
+                    sim = _nearness(v)
                     np.fill_diagonal(sim, -9)
                     top = min(k, len(own) - 1)
                     j = np.argpartition(-sim, top - 1, axis=1)[:, :top]
@@ -217,8 +237,9 @@ class NeighbourIndex:
                     yield _lists(np.repeat(own, top), got, ["id", "list"])
 
         parts = self._parts(self.n * self.trees)
-        rows = self.codes.mapInArrow(dealt, "block long, id long, code binary").repartition(parts, "block").sortWithinPartitions("block")
-        return rows.mapInArrow(_keyed("block", nearest), "id long, list binary")
+        rows = self.codes.mapInArrow(dealt, "block long, along float, id long, code binary")
+        rows = rows.repartitionByRange(parts, "block", "along").sortWithinPartitions("block", "along")
+        return rows.select("block", "id", "code").mapInArrow(_keyed("block", nearest, overlap=leaf), "id long, list binary")
 
     def _offers(self, graph: DataFrame, round_: int) -> DataFrame:
         """Join of neighbours of neighbours: pairs of which one is new, offered to those whose list they improve."""
@@ -227,20 +248,23 @@ class NeighbourIndex:
 
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """(centre, member, new) of the lists and, a sample for each centre, of those that name it."""
-            rng = np.random.default_rng(seed)
+
+            def rows(centre, member, new, back):
+                return pa.record_batch([pa.array(centre), pa.array(member), pa.array(new.astype(bool)), pa.array(np.full(len(centre), back))], ["centre", "member", "new", "back"])
+
+            held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "u1")]
             for b in batches:
                 raw, n = _joined(b.column(1), "u1")
                 got = raw.view(NEIGHBOUR)
                 owner = np.repeat(b.column(0).to_numpy(), n // NEIGHBOUR.itemsize)
-                order = np.lexsort((rng.random(len(got)), got["id"]))
-                back = got["id"][order]
-                keep = order[np.arange(len(back)) - np.searchsorted(back, back, "left") < most]
-                yield pa.record_batch(
-                    [pa.array(np.concatenate([owner, got["id"][keep]])), pa.array(np.concatenate([got["id"], owner[keep]])),
-                     pa.array(np.concatenate([got["new"], got["new"][keep]]).astype(bool)),
-                     pa.array(np.repeat([False, True], [len(owner), len(keep)]))],
-                    ["centre", "member", "new", "back"],
-                )
+                yield rows(owner, got["id"], got["new"], False)
+                held = [np.concatenate(x) for x in zip(held, (got["id"], owner, got["new"]))]
+                if len(held[0]) > 50 * CHUNK:
+                    kept = _drawn(held[0], held[1], seed, most)
+                    held = [x[kept] for x in held]
+            kept = _drawn(held[0], held[1], seed, most)
+            for at in range(0, len(kept), CHUNK):
+                yield rows(*(x[kept[at : at + CHUNK]] for x in held), True)
 
         def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """(id, the similarity that an offer must beat)."""
@@ -253,12 +277,9 @@ class NeighbourIndex:
         def offered(t: pa.Table) -> Iterator[pa.RecordBatch]:
             centre, ids, new = t.column("centre").to_numpy(), t.column("member").to_numpy(), t.column("new").to_numpy()
             back, bar, x = t.column("back").to_numpy(), t.column("bar").to_numpy(), _vectors(t.column("code"), width)
-            rng = np.random.default_rng(seed)
-            order = np.lexsort((rng.random(len(ids)), back, centre))
-            place = np.arange(len(ids)) - np.searchsorted(centre[order], centre[order], "left")
-            n_own = np.bincount(np.searchsorted(np.unique(centre), centre[~back]), minlength=len(np.unique(centre)))
-            own = n_own[np.searchsorted(np.unique(centre), centre[order])]
-            order = order[place < own + most]
+            own, others = np.flatnonzero(~back), np.flatnonzero(back)
+            order = np.concatenate([own, others[_drawn(centre[others], ids[others], seed, most)]])
+            order = order[np.argsort(centre[order], kind="stable")]
             centre, ids, new, bar, x = centre[order], ids[order], new[order], bar[order], x[order]
             owners, got = [], []
             bounds = _runs(centre)
@@ -266,7 +287,7 @@ class NeighbourIndex:
                 f = new[a:b]
                 if not f.any():
                     continue
-                sim = x[a:b] @ x[a:b].T
+                sim = _nearness(x[a:b])
                 i, j = np.nonzero((sim > bar[a:b, None]) & (f[:, None] | f[None, :]))
                 i, j = i[ids[a + i] != ids[a + j]], j[ids[a + i] != ids[a + j]]
                 e = np.zeros(len(i), NEIGHBOUR)
@@ -285,11 +306,11 @@ class NeighbourIndex:
 
     # searching
 
-    def search(self, queries: DataFrame, results: int = 20, width: int = 128, expand: int = 48, hops: int = 4) -> DataFrame:
+    def search(self, queries: DataFrame, results: int = 20, width: int = 128, expand: int = 48, settled: int = 48) -> DataFrame:
         """(query_id, rank, vec_id, score): the nearest rows found for rows of the index, all but the query's own.
 
         ``queries`` has query_id, the vec_id of an indexed row. The best ``width`` nodes are kept in each hop and
-        the best ``expand`` of those not expanded yet are expanded.
+        the best ``expand`` of those not expanded yet are expanded, until the best ``settled`` all are.
         """
         out = "query_id long, rank int, vec_id long, score double"
         if not self.n:
@@ -297,9 +318,13 @@ class NeighbourIndex:
         members = self.nodes.select("id", F.explode("ids").alias("vec_id"))
         entry = cut(self._entries(queries, members))
         state, entries = self._first(entry)
-        for hop in range(hops):
-            state = cut(self._hop(state, width, expand, entries if hop == 0 else None, last=hop == hops - 1))
-        return self._scored(state, entry, results)
+        ended: list[DataFrame] = []
+        while True:
+            state = cut(self._hop(state, width, expand, settled, None if ended else entries))
+            ended.append(state.where("not open"))
+            state = state.where("open")
+            if state.isEmpty():
+                return self._scored(reduce(DataFrame.union, ended), entry, results)
 
     def _entries(self, queries: DataFrame, members: DataFrame) -> DataFrame:
         """(query_id, node) by the query's vector: also of copies that the node doesn't list."""
@@ -310,7 +335,7 @@ class NeighbourIndex:
 
     #: Nodes of the longest vectors, where every search also starts: large inner products are mostly theirs.
     ENTRIES = 16
-    STATE = "node long, query_code binary, kept binary, seen binary"
+    STATE = "node long, query_code binary, kept binary, seen binary, open boolean"
 
     def _first(self, entry: DataFrame) -> tuple[DataFrame, np.ndarray]:
         """One search for each distinct query vector: (node, query_code, kept, seen), itself kept, not expanded.
@@ -333,13 +358,13 @@ class NeighbourIndex:
                     e["id"], e["sim"], e["new"] = first, 1e30, 1
                     cols.append((i, code, e.tobytes(), first.astype("<i8").tobytes()))
                 cols = list(zip(*cols)) if cols else [[]] * 4
-                yield pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["node", "query_code", "kept", "seen"])
+                yield pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.array([True] * len(cols[0]))], ["node", "query_code", "kept", "seen", "open"])
 
         nodes = entry.select("node").distinct()
         rows = nodes.join(self.nodes, nodes.node == self.nodes.id).where(F.size("vec") == self.dims).select("node", "vec")
         return rows.mapInArrow(start, self.STATE), longest
 
-    def _hop(self, state: DataFrame, width: int, expand: int, entries: np.ndarray | None, last: bool) -> DataFrame:
+    def _hop(self, state: DataFrame, width: int, expand: int, settled: int, entries: np.ndarray | None) -> DataFrame:
         size, first = self.width, entries is not None
 
         def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,9 +420,10 @@ class NeighbourIndex:
                 every = np.concatenate([old, e])
                 best = every[np.lexsort((every["id"], -every["sim"]))[:width]]
                 seen = np.concatenate([np.frombuffer(seens[s].as_buffer(), "<i8"), e["id"]])
-                out.append((node[a], qs[s].as_py(), best.tobytes(), b"" if last else seen.tobytes()))
+                goes_on = bool(best["new"][:settled].any())
+                out.append((node[a], qs[s].as_py(), best.tobytes(), seen.tobytes() if goes_on else b"", goes_on))
             cols = list(zip(*out))
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["node", "query_code", "kept", "seen"])
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:4]), pa.array(cols[4], pa.bool_())], ["node", "query_code", "kept", "seen", "open"])
 
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         at = state.select("node", "kept").mapInArrow(frontier, "node long, at long")
@@ -443,6 +469,12 @@ def _vectors(column, width: int) -> np.ndarray:
     return raw[:, 4:].view("i1").astype("f4") * raw[:, :4].copy().view("<f4")
 
 
+def _nearness(v: np.ndarray) -> np.ndarray:
+    """Minus half the squared distance of every two rows: among near copies codes differ in length by more than that."""
+    half = (v * v).sum(1) / 2
+    return v @ v.T - half[:, None] - half[None, :]
+
+
 def _aged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists with no entry new."""
     for b in batches:
