@@ -2,8 +2,9 @@
 
 The file gives byte strings and ranks. The library wants characters and merges: each byte stands for one
 printable character, and the merge that makes a token is found by merging the token's bytes with the lower
-ranks until two parts are left. Offsets are the library's, in characters of the text; several tokens of one
-split character share its offsets.
+ranks until two parts are left. A token's offsets are the characters of the text that its bytes lie in, as the
+library gives them: the tokens' byte lengths place them in the text's bytes, and a map from bytes to characters does
+the rest; several tokens of one split character share its offsets.
 
 Decoding looks up each id's bytes and joins them; a character that is split over tokens becomes whole again
 by joining bytes before any decoding of UTF-8, and bytes that are no UTF-8 become U+FFFD in the text form.
@@ -84,6 +85,19 @@ def decoded_bytes(ids: bytes, path: str) -> bytes:
     return b"".join(map(byte_table(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@functools.cache
+def byte_lengths(path: str) -> np.ndarray:
+    return np.array([len(t or b"") for t in byte_table(path)], np.int64)
+
+
+def offsets_of(ids: bytes, raw: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(first character, end) of each of the ids of a text whose UTF-8 is ``raw``; ends are exclusive."""
+    character = np.cumsum((np.frombuffer(raw, "u1") & 0xC0) != 0x80)  # of each byte, counted from 1
+    ends = np.cumsum(byte_lengths(path)[np.frombuffer(ids, "<u4")])
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
+    return character[starts] - 1, character[ends - 1]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
     """(doc_id, ids binary, n_tokens long) of every row, ids as little-endian unsigned 32-bit integers.
 
@@ -94,27 +108,17 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for b in batches:
-            ids = [enc.ids(t.as_py()) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
-
-    def with_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = library_tokenizer(path, pattern)
-        t.encode_special_tokens = True
-        for b in batches:
-            found = t.encode_batch([x.as_py() or "" for x in b.column(1)], add_special_tokens=False)
-            ids = [np.array(e.ids, "<u4").tobytes() for e in found]
-            cols = [[o[k] for o in e.offsets] for k in (0, 1) for e in found]
-            yield pa.record_batch(
-                [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                 pa.array(cols[: len(ids)], pa.list_(pa.int64())), pa.array(cols[len(ids) :], pa.list_(pa.int64()))],
-                ["doc_id", "ids", "n_tokens", "starts", "ends"],
-            )
-
-    schema = "doc_id long, ids binary, n_tokens long"
+            texts = [t.as_py() for t in b.column(1)]
+            ids = list(map(enc.ids, texts))
+            cols = [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if offsets:
+                places = [offsets_of(x, (t or "").encode(), path) for x, t in zip(ids, texts)]
+                cols += [pa.array([p[k] for p in places], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.record_batch(cols, names)
+
+    names = ["doc_id", "ids", "n_tokens", *(["starts", "ends"] if offsets else [])]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if offsets:
-        return rows.mapInArrow(with_offsets, schema + ", starts array<long>, ends array<long>")
-    return rows.mapInArrow(ids_of, schema)
+    return rows.mapInArrow(ids_of, "doc_id long, ids binary, n_tokens long" + (", starts array<long>, ends array<long>" if offsets else ""))
 
 
 def decode(path: str, ids: Column, as_text: bool = False) -> Column:
@@ -132,13 +136,21 @@ def decode(path: str, ids: Column, as_text: bool = False) -> Column:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    ids = encode(docs, path, pattern)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256) of every row.
+
+    The last is of the tokens' first characters, and then their ends, as little-endian unsigned 32-bit integers.
+    """
+    ids = encode(docs, path, pattern, offsets=True)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("ids").to_pylist()
-            shas = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(decoded_bytes(x, path)).hexdigest() for x in ids]]
-            yield pa.record_batch([b.column("doc_id"), b.column("n_tokens"), *(pa.array(s, pa.string()) for s in shas)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return ids.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            places = zip(b.column("starts"), b.column("ends"))
+            shas = [
+                [hashlib.sha256(x).hexdigest() for x in ids],
+                [hashlib.sha256(decoded_bytes(x, path)).hexdigest() for x in ids],
+                [hashlib.sha256(b"".join(p.values.to_numpy().astype("<u4").tobytes() for p in two)).hexdigest() for two in places],
+            ]
+            yield pa.record_batch([b.column("doc_id"), b.column("n_tokens"), *(pa.array(s, pa.string()) for s in shas)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"])
+
+    return ids.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")
