@@ -6,7 +6,7 @@ numbers to a byte. A control byte thus fixes where the next four numbers lie, an
 all control bytes in a table of lengths at once.
 
 A file is a run of blocks. A block: four little-endian unsigned 32-bit integers (documents, numbers, data bytes,
-0), the documents' doc_id (signed 64) and how many of the block's numbers are theirs (unsigned 32), control
+documents without doc_id, which come first and hold 0 for it), the documents' doc_id (signed 64) and how many of the block's numbers are theirs (unsigned 32), control
 bytes, data bytes. A document may go on in the next block, which then starts with its doc_id again and has the
 top bit of the count set. Blocks hold at most ``BLOCK`` numbers, so readers need bounded memory.
 
@@ -35,7 +35,6 @@ from tidewrack.plans.lineage import remove, work_dir, written
 
 BLOCK = 1 << 18
 GOES_ON = 1 << 31
-NO_ID = -(1 << 63)
 #: Bytes of each of the four numbers of a control byte, and their sum.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 SUMS = LENGTHS.sum(1)
@@ -75,10 +74,10 @@ def numbers_of(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def block_bytes(ids: list[int], counts: list[int], numbers: np.ndarray) -> bytes:
+def block_bytes(ids: list[int | None], counts: list[int], numbers: np.ndarray) -> bytes:
     control, data = coded(numbers)
-    head = np.array([len(ids), len(numbers), len(data), 0], "<u4")
-    return b"".join((head.tobytes(), np.array(ids, "<i8").tobytes(), np.array(counts, "<u4").tobytes(), control, data))
+    head = np.array([len(ids), len(numbers), len(data), ids.count(None)], "<u4")
+    return b"".join((head.tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(counts, "<u4").tobytes(), control, data))
 
 
 def open_uri(uri: str, mode: str):
@@ -90,29 +89,34 @@ def open_uri(uri: str, mode: str):
     return fs.open_output_stream(path)
 
 
-def read_blocks(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def read_blocks(uri: str) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """(doc_ids, counts, numbers) of each block."""
     with open_uri(uri, "rb") as f:
         while head := f.read(16):
-            docs, n, size, _ = np.frombuffer(head, "<u4").tolist()
+            docs, n, size, without = np.frombuffer(head, "<u4").tolist()
             ids, counts = np.frombuffer(f.read(8 * docs), "<i8"), np.frombuffer(f.read(4 * docs), "<u4")
             control = f.read(-(-n // 4))
-            yield ids, counts, numbers_of(control, f.read(size), n)
+            yield [None] * without + ids[without:].tolist(), counts, numbers_of(control, f.read(size), n)
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids binary) of every row: unsigned 16-bit ids if the vocabulary allows, else 32-bit ones."""
+    """(doc_id, salt, ids binary) of every row: unsigned 16-bit ids if the vocabulary allows, else 32-bit ones.
+
+    ``salt`` deals rows of one doc_id, or of none, over ranges.
+    """
     bound_batches(docs.sparkSession)
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        kind = id_kind(path)
+        kind, seen = id_kind(path), 0
         for b in batches:
+            salt = np.arange(seen, seen + b.num_rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            seen += b.num_rows
             ids = [np.append(np.frombuffer(enc.ids(t.as_py()), "<u4"), end_id).astype(kind).tobytes() for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.record_batch([b.column(0), pa.array(salt.astype("i4")), pa.array(ids, pa.binary())], ["doc_id", "salt", "ids"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(ids_of, "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(ids_of, "doc_id long, salt int, ids binary")
 
 
 @functools.cache
@@ -143,7 +147,7 @@ def frequency_ranks(ids: DataFrame, path: str) -> np.ndarray:
 
 
 def write_files(ids: DataFrame, ranks: np.ndarray, kind: str, folder: str) -> DataFrame:
-    """Write ``ids`` in ascending doc_id order; a row (part, uri, low, docs, tokens) for each file."""
+    """Write ``ids`` in ascending doc_id order; a row (part, uri, docs, tokens) for each file."""
     spark = ids.sparkSession
     held = spark.sparkContext.broadcast(ranks)  # one number for each id of the vocabulary
 
@@ -151,12 +155,12 @@ def write_files(ids: DataFrame, ranks: np.ndarray, kind: str, folder: str) -> Da
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        uri, out, low, docs, tokens = f"{folder}/{part:06d}-{uuid.uuid4().hex}.tok", None, None, 0, 0
+        uri, out, docs, tokens = f"{folder}/{part:06d}-{uuid.uuid4().hex}.tok", None, 0, 0
         names, counts, numbers, size = [], [], [], 0
         for b in batches:
             for d, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 x = held.value[np.frombuffer(raw.as_buffer(), kind)]
-                low, docs, tokens, more = d if low is None else low, docs + 1, tokens + len(x), 0
+                docs, tokens, more = docs + 1, tokens + len(x), 0
                 while True:
                     room = BLOCK - size
                     names.append(d)
@@ -176,11 +180,11 @@ def write_files(ids: DataFrame, ranks: np.ndarray, kind: str, folder: str) -> Da
         if out:
             out.close()
             yield pa.record_batch(
-                [pa.array([v], t) for v, t in ((part, pa.int64()), (uri, pa.string()), (low, pa.int64()), (docs, pa.int64()), (tokens, pa.int64()))],
-                ["part", "uri", "low", "docs", "tokens"],
+                [pa.array([v], t) for v, t in ((part, pa.int64()), (uri, pa.string()), (docs, pa.int64()), (tokens, pa.int64()))],
+                ["part", "uri", "docs", "tokens"],
             )
 
-    return ids.mapInArrow(write, "part long, uri string, low long, docs long, tokens long")
+    return ids.mapInArrow(write, "part long, uri string, docs long, tokens long")
 
 
 def write_corpus(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> tuple[list, np.ndarray]:
@@ -194,8 +198,8 @@ def write_corpus(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> tu
     ranks = frequency_ranks(ids, path)
     kind = id_kind(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    manifest = sorted((r.part, r.uri, r.docs, r.tokens) for r in write_files(ordered, ranks, kind, folder).collect())
+    ordered = ids.repartitionByRange(parts, "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
+    manifest = sorted((r.part, r.uri, r.docs, r.tokens) for r in write_files(ordered.select("doc_id", "ids"), ranks, kind, folder).collect())
     remove(spark, staging)
     by_rank = np.empty(len(ranks), "<u4")
     by_rank[ranks] = np.arange(len(ranks), dtype="<u4")
@@ -222,14 +226,14 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
                 out: list[list] = []
                 for ids, counts, numbers in read_blocks(uri):
                     raw, p = memoryview(by_rank.value[numbers].tobytes()), 0
-                    for d, c in zip(ids.tolist(), counts.tolist()):
+                    for d, c in zip(ids, counts.tolist()):
                         n = c & ~GOES_ON
                         part = raw[4 * p : 4 * (p + n)]
                         p += n
                         if c & GOES_ON:
                             out[-1][2:] = [out[-1][2] + n, zlib.crc32(part, out[-1][3])]
                         else:
-                            out.append([None if d == NO_ID else d, start, n, zlib.crc32(part)])
+                            out.append([d, start, n, zlib.crc32(part)])
                         start += n
                     if len(out) > 10_000:
                         yield _rows(out[:-1])
