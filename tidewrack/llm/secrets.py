@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewrack.plans.lineage import hadoop_path, work_dir
+from tidewrack.plans.lineage import claimed, hadoop_path, work_dir
 
 
 @dataclass(frozen=True)
@@ -83,8 +83,9 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 class BlobLedger:
     """The ledger at ``path``: ``scanned`` (blob, rule, rule_version) and ``findings`` with start and end.
 
-    Each scan adds one numbered folder to both tables; the ``scanned`` folder is written last, so a scan that
-    was broken off counts for nothing: only findings of numbers that both tables hold are read.
+    Each scan claims a number, which no other scan can get, and adds a folder of that number to both tables; a file
+    below ``done`` makes them count. A scan that was broken off thus counts for nothing. Scans that run at the same
+    time may both scan a blob that neither has seen; its findings are read once.
     """
 
     SCANNED = "blob string, rule string, rule_version int"
@@ -94,12 +95,16 @@ class BlobLedger:
         self.spark, self.path, self.rules = spark, path, rules
 
     def _numbers(self) -> list[str]:
-        fs, p = hadoop_path(self.spark, f"{self.path}/scanned")
-        if not fs.exists(p):
-            return []
-        done = [x.getPath() for x in fs.listStatus(p)]
-        jvm = self.spark.sparkContext._jvm
-        return sorted(x.getName() for x in done if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+        """The numbers of the scans that ended."""
+        fs, p = hadoop_path(self.spark, f"{self.path}/done")
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _claimed(self) -> str:
+        """A number of this scan's own."""
+        n = len(self._numbers())
+        while not claimed(self.spark, f"{self.path}/claims/{n:08d}"):
+            n += 1
+        return f"{n:08d}"
 
     def _read(self, name: str, schema: str) -> DataFrame:
         parts = [f"{self.path}/{name}/{n}" for n in self._numbers()]
@@ -111,15 +116,16 @@ class BlobLedger:
     def findings(self) -> DataFrame:
         """Findings of the present rule versions."""
         now = F.array(*(F.struct(F.lit(r.kind).alias("k"), F.lit(r.version).alias("v")) for r in self.rules))
-        return self._read("findings", self.FINDINGS).where(
+        rows = self._read("findings", self.FINDINGS).where(
             F.exists(now, lambda r: (r["k"] == F.col("rule")) & (r["v"] == F.col("rule_version")))
         )
+        return rows.distinct() if len(self._numbers()) > 1 else rows
 
     def scan(self, versions: DataFrame, text: str = "text") -> int:
         """Scan what the ledger hasn't seen of ``versions``; the number of (blob, rule) pairs scanned."""
         blobs = versions.select(blob_id(F.col(text)).alias("blob"), F.coalesce(text, F.lit("")).alias("content"))
-        number = len(self._numbers())
-        if number:
+        number = self._claimed()
+        if self._numbers():
             seen = self.scanned().where(
                 " or ".join(f"(rule = '{r.kind}' and rule_version = {r.version})" for r in self.rules)
             )
@@ -133,13 +139,14 @@ class BlobLedger:
         else:
             blobs = blobs.withColumn("rule_kinds", F.array(*(F.lit(r.kind) for r in self.rules)))
         unseen = blobs.groupBy("blob").agg(F.first("content").alias("content"), F.first("rule_kinds").alias("rule_kinds"))
-        scan_blobs(unseen, self.rules).write.mode("overwrite").parquet(f"{self.path}/findings/{number:08d}")
+        scan_blobs(unseen, self.rules).write.parquet(f"{self.path}/findings/{number}")
         kinds = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version")) for r in self.rules))
         pairs = blobs.select("blob", "rule_kinds").groupBy("blob").agg(F.first("rule_kinds").alias("rule_kinds"))
         pairs = pairs.select("blob", "rule_kinds", F.explode(kinds).alias("r")).where(F.array_contains("rule_kinds", F.col("r.rule")))
-        out = f"{self.path}/scanned/{number:08d}"
-        pairs.select("blob", "r.rule", "r.rule_version").write.mode("overwrite").parquet(out)
-        return self.spark.read.parquet(out).count()
+        out = f"{self.path}/scanned/{number}"
+        pairs.select("blob", "r.rule", "r.rule_version").write.parquet(out)
+        claimed(self.spark, f"{self.path}/done/{number}")
+        return self.spark.read.schema(self.SCANNED).parquet(out).count()
 
 
 def spans_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
