@@ -145,7 +145,9 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, rows_per_language: int, max_languages: int = 1000) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Subword counts of about ``rows_per_language`` labelled rows of each language, chosen by a hash of doc_id.
+    """Subword counts of about ``rows_per_language`` labelled documents of each language, chosen by a hash of doc_id.
+
+    Of rows that share doc_id and language, that with the least text is taken.
 
     Of more than ``max_languages`` languages only the most frequent are learnt: the model's size grows with them.
     Counting languages is one grouped count; what comes to the driver is bounded by the rows and BUCKETS.
@@ -158,7 +160,7 @@ def sample(docs: DataFrame, rows_per_language: int, max_languages: int = 1000) -
         return []
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(float(rows_per_language / n)))))
-    chosen = known.where(part < share[F.col("lang")]).select("lang", "text")
+    chosen = known.where(part < share[F.col("lang")]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,7 +174,7 @@ def sample(docs: DataFrame, rows_per_language: int, max_languages: int = 1000) -
                 out.append((used.astype("<i4").tobytes(), total[used].astype("<f8").tobytes()))
             yield pa.record_batch([b.column(0), *(pa.array([o[k] for o in out], pa.binary()) for k in (0, 1))], ["lang", "b", "c"])
 
-    rows = chosen.mapInArrow(count, "lang string, b binary, c binary").limit(2 * rows_per_language * len(sizes)).collect()
+    rows = chosen.mapInArrow(count, "lang string, b binary, c binary").collect()
     return [(r.lang, np.frombuffer(bytes(r.b), "<i4").astype(np.int64), np.frombuffer(bytes(r.c), "<f8")) for r in rows]
 
 

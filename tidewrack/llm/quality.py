@@ -199,25 +199,29 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of about so many positives and unlabelled rows that aren't held out, chosen by a hash of doc_id."""
+    """Features of about so many positives and unlabelled documents that aren't held out, chosen by a hash of doc_id.
+
+    Of rows that share a doc_id that with the least text is taken.
+    """
     bound_batches(docs.sparkSession)
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("doc_id is not null and quality = 1")
     good = good.where(~held_out()).select(F.col("doc_id").alias("_id"))
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     part = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) / 1e6
     n_good, n_rows = good.count(), rows.count()
-    chosen = good.withColumnRenamed("_id", "doc_id").where(part(1) < positives / max(1, n_good)).select(F.col("doc_id").alias("_id"))
-    bound = 2 * positives
-    few = F.broadcast(chosen.limit(bound))  # at most ``bound`` ids
-    p = rows.join(few, rows.doc_id == F.col("_id"), "left_semi").select(F.lit(True).alias("pos"), "text")
-    u = rows.where(part(2) < unlabelled / max(1, n_rows)).select(F.lit(False).alias("pos"), "text").limit(2 * unlabelled)
+    chosen = good.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1_000_000)) / 1e6 < positives / max(1, n_good))
+    few = F.broadcast(chosen)  # about ``positives`` ids, as each is there once
+    one = lambda df, pos: df.groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(pos).alias("pos"), "text", "doc_id")
+    p = one(rows.join(few, rows.doc_id == F.col("_id"), "left_semi"), True)
+    u = one(rows.where(part(2) < unlabelled / max(1, n_rows)), False)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column(1).to_pylist())
-            yield pa.record_batch([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["pos", "x"])
+            yield pa.record_batch([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), b.column(2)], ["pos", "x", "doc_id"])
 
-    got = p.union(u).mapInArrow(count, "pos boolean, x binary").collect()
+    rows = p.union(u).withColumn("doc_id", F.col("doc_id").cast("string"))
+    got = sorted(rows.mapInArrow(count, "pos boolean, x binary, doc_id string").collect(), key=lambda r: r.doc_id)
     as_rows = lambda pos: np.array([np.frombuffer(bytes(r.x), "f4") for r in got if r.pos == pos]).reshape(-1, FEATURES)
     return as_rows(True), as_rows(False)
 
