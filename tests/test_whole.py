@@ -66,42 +66,3 @@ def test_detect_inserted_statement(spark):
     assert sorted(r.path for r in report.instances.collect()) == ["a.dart", "b.dart"]
     only = detect(files.from_memory(spark, {"a.dart": one, "b.dart": two}), DedupeOptions(70, 4, bucket="identical"))
     assert only.clusters.count() == 0
-
-
-def test_items_without_spaces_and_short_items(spark):
-    from tidewrack.llm import decontaminate, wordhash
-
-    item = "\u4eca\u65e5\u306f\u5929\u6c17\u304c\u3068\u3066\u3082\u826f\u3044\u3067\u3059\u306d"
-    h, s, e = wordhash.word_hashes(f"ab{item[:2]}cd\uff0c\U00020000\U00020000 \u00e91".encode())
-    assert len(h) == 7 and h[4] == h[5] and (e - s).tolist() == [2, 3, 3, 2, 4, 4, 3]
-    bench = spark.createDataFrame([(1, item), (2, "Three rare words"), (3, "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35"), (4, "!!")], "item_id long, text string")
-    docs = [(1, f"\u524d\u6587\uff1a{item}\u3002\u5f8c\u6587"), (2, "here are three, rare words and three rare words"), (3, "three rare old words"), (4, "x \u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e04\u0e23\u0e31\u0e1a"), (5, "")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()} == {(1, 1), (2, 2), (4, 3)}
-    assert {r.doc_id for r in decontaminate.without_contaminated(frame, bench).collect()} == {3, 5}
-
-
-def test_languages_of_one_sample_are_fitted():
-    import numpy as np
-
-    from tidewrack.llm import langid
-
-    texts = [("aa", f"kala mana tala {i}") for i in range(5)] + [("bb", "zwyx qrst vwxz zwyx"), ("cc", "oiu eiou uieo")]
-    rows = []
-    for lang, text in texts:
-        used, n = np.unique(langid.subwords(text)[0], return_counts=True)
-        rows.append((lang, used, n.astype(float)))
-    model = langid.train(rows, epochs=60)
-    assert model.predict(["zwyx qrst vwxz zwyx", "kala mana tala"])[0] == ["bb", "aa"]
-    assert len(langid.train([r for r in rows if r[0] != "aa"]).languages) == 2
-
-
-def test_last_stage_decodes(spark, sf):
-    import hashlib
-
-    import corpus_pipeline
-
-    texts = ["plain words, 12", "h\u00e9 \u4eca\u65e5 \U0001f600", "", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()}
-    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
