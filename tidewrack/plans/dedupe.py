@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.operators import clusters, matching, ranges, similarity
@@ -13,8 +13,13 @@ from tidewrack.plans.lineage import cut
 from tidewrack.sources import dart
 
 
+CATEGORIES, BUCKETS = ("all", "logic", "data", "boilerplate"), ("all", "identical", "parameterized", "structural", "gapped")
+
+
 @dataclass(frozen=True)
 class DedupeOptions:
+    """``ignore_comments`` changes nothing: comments are no tokens, so they are never compared."""
+
     min_tokens: int = 40
     min_lines: int = 4
     ignore_literals: bool = True
@@ -25,10 +30,13 @@ class DedupeOptions:
     top: int = 0
     fail_threshold: float | None = None
     only_changed: bool = False
+    ignore_comments: bool = True
 
     def __post_init__(self):
         if self.min_tokens < 1 or self.min_lines < 1 or self.top < 0:
             raise ValueError("counts must be positive")
+        if self.category not in CATEGORIES or self.bucket not in BUCKETS:
+            raise ValueError("unknown category or bucket")
 
 
 @dataclass(frozen=True)
@@ -50,13 +58,14 @@ def detect(files: DataFrame, options: DedupeOptions = DedupeOptions(), changed:
     pairs = cut(matching.clone_pairs(cut(array_kgrams(arrays, k)), k, options.max_bucket))
     pairs = pairs.select("doc_a", "start_a", F.col("n_tokens").alias("n_a"), "doc_b", "start_b", F.col("n_tokens").alias("n_b"))
     pairs = cut(pairs.union(_unit_pairs(cut(dart.unit_rows(files, options.min_tokens, options.min_lines, options.ignore_literals, options.ignore_identifiers)), options.max_bucket)).distinct())
-    at = toks.select(F.col("path").alias("doc_id"), "pos", "line")
+    at = toks.select(F.col("path").alias("doc_id"), "pos", "line", "col", (F.col("col") + F.length("orig")).alias("end_col"))
     placed = _tall_enough(matching.maximal_pairs(pairs), at, options.min_lines)
     found = clusters.without_overlaps(clusters.spans(cut(placed)))
-    first = at.select("doc_id", F.col("pos").alias("start"), F.col("line").alias("start_line"))
-    last = at.select("doc_id", F.col("pos").alias("_end"), F.col("line").alias("end_line"))
+    first = at.select("doc_id", F.col("pos").alias("start"), F.col("line").alias("start_line"), F.col("col").alias("start_column"))
+    last = at.select("doc_id", F.col("pos").alias("_end"), F.col("line").alias("end_line"), F.col("end_col").alias("end_column"))
     rows = found.withColumn("_end", F.col("start") + F.col("n_tokens") - 1).join(first, ["doc_id", "start"]).join(last, ["doc_id", "_end"])
-    instances = cut(rows.select("cluster", F.col("doc_id").alias("path"), "start", "n_tokens", "start_line", "end_line"))
+    rows = rows.select("cluster", F.col("doc_id").alias("path"), "start", "n_tokens", "start_line", "start_column", "end_line", "end_column")
+    instances = cut(with_snippets(rows, files))
     lines = (F.col("end_line") - F.col("start_line") + 1).alias("lines")
     size = instances.select("cluster", "path", "start", "n_tokens", "start_line", "end_line", lines)
     key = F.struct("path", "start")
@@ -89,6 +98,19 @@ def detect(files: DataFrame, options: DedupeOptions = DedupeOptions(), changed:
     return DedupeReport(instances, every, metrics, summary)
 
 
+def with_snippets(spans: DataFrame, files: DataFrame) -> DataFrame:
+    """``spans`` (path, start_line, end_line) with ``snippet``, these lines of the file, trimmed; empty if there are none."""
+    return spans.join(files.select("path", "content"), "path").withColumn("snippet", lines_of(F.col("content"), F.col("start_line"), F.col("end_line"))).drop("content")
+
+
+def lines_of(content: Column, start: Column, end: Column) -> Column:
+    """Lines ``start`` to ``end`` of a text, as far as it has them, trimmed."""
+    lines = F.split(F.coalesce(content, F.lit("")), "\n", -1)
+    first, last = F.greatest(start, F.lit(1)), F.least(end, F.size(lines))
+    text = F.array_join(F.slice(lines, F.least(first, F.size(lines)), F.greatest(last - first + 1, F.lit(0))), "\n")
+    return F.when(last >= first, F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(F.lit(""))
+
+
 def _unit_pairs(units: DataFrame, max_bucket: int) -> DataFrame:
     """(doc_a, start_a, n_a, doc_b, start_b, n_b) of units with equal tokens or at least 0.8 of their statements in common."""
     sides = {s: units.select(F.col("doc_id").alias(f"doc_{s}"), F.col("path").alias(f"p_{s}"), F.col("first").alias(f"start_{s}"), F.col("n_tokens").alias(f"n_{s}"), "hash") for s in "ab"}

@@ -26,7 +26,7 @@ def dedupe_json(report: DedupeReport) -> str:
 
     instances: dict = {}
     for r in rows(report.instances, ["cluster", "path", "start"]):
-        one = {"filePath": r["path"], "startLine": r["start_line"], "endLine": r["end_line"], "tokenCount": r["n_tokens"]}
+        one = {"filePath": r["path"], "startLine": r["start_line"], "startColumn": r["start_column"], "endLine": r["end_line"], "endColumn": r["end_column"], "tokenCount": r["n_tokens"], "snippet": r["snippet"]}
         instances.setdefault(r["cluster"], []).append(one)
     found = rows(report.clusters, [F.desc("lines_saved"), F.desc("token_count"), "cluster"])
     listed = [
@@ -66,6 +66,87 @@ def dedupe_markdown(report: DedupeReport, top: int = 0) -> str:
     )
 
 
+def dedupe_text(report: DedupeReport, top: int = 0, with_files: bool = True, with_clusters: bool = True) -> str:
+    """The totals, the files with duplicate lines and the clusters with their places, in plain lines."""
+    from pyspark.sql import functions as F
+
+    s = report.summary.first()
+    out = [f"{s.files} files, {s.clusters} clusters, {s.dup_lines} of {s.total_lines} lines duplicate ({s.dup_pct:.1f} %), {s.lines_saved} could go"]
+    if with_files:
+        files = rows(report.file_metrics.where("dup_lines > 0"), [F.desc("dup_pct"), "path"])
+        width = max((len(r["path"]) for r in files), default=0)
+        out += ["", *(f"{r['path'].ljust(width)}  {r['dup_pct']:5.1f} %  {r['dup_lines']} of {r['total_lines']} lines" for r in files)]
+    if with_clusters:
+        found = rows(report.clusters, [F.desc("lines_saved"), F.desc("token_count"), "cluster"], top)
+        places: dict = {}
+        for r in rows(report.instances, ["cluster", "path", "start"]):
+            places.setdefault(r["cluster"], []).append(f"    {r['path']}:{r['start_line']}-{r['end_line']}")
+        for i, c in enumerate(found, 1):
+            out += ["", f"{i}. {c['bucket']}, {c['category']}: {c['n_instances']} times {c['token_count']} tokens, {c['lines_saved']} lines could go", *places[c["cluster"]]]
+    return "\n".join(out)
+
+
+def dedupe_annotations(report: DedupeReport) -> str:
+    """A warning at each instance of each cluster; filters and limits don't apply here."""
+    clusters = {c["cluster"]: c for c in rows(report.clusters, ["cluster"])}
+    of = [r for r in rows(report.instances, ["path", "start_line", "cluster"]) if r["cluster"] in clusters]
+    return "\n".join(annotation("warning", r["path"], r["start_line"], f"{clusters[r['cluster']]['n_instances']} copies of {r['n_tokens']} tokens ({clusters[r['cluster']]['bucket']})") for r in of)
+
+
+def step_summary(text: str, path: str | None) -> bool:
+    """Append ``text`` to the summary file of a continuous-integration step, if there is one."""
+    if not path:
+        return False
+    with open(path, "a", encoding="utf-8") as f:
+        f.write(text.rstrip("\n") + "\n")
+    return True
+
+
+def line_sets(spark, path: str, min_lines: int = 1) -> DataFrame:
+    """(path, line) that the clones of a JSON report cover, one of above or one whose clusters have ``occurrences``
+    (path, start_line, end_line). What has fewer than ``min_lines`` lines counts for nothing; missing keys are empty."""
+    from pyspark.sql import functions as F
+
+    own = "struct<filePath:string, startLine:int, endLine:int>"
+    other = "struct<path:string, start_line:int, end_line:int>"
+    raw = spark.read.schema(f"clusters array<struct<instances:array<{own}>, occurrences:array<{other}>>>").json(path, multiLine=True)
+    each = raw.select(F.explode("clusters").alias("c"))
+    spans = each.select(F.explode("c.instances").alias("x")).select(F.col("x.filePath").alias("path"), F.col("x.startLine").alias("a"), F.col("x.endLine").alias("z"))
+    spans = spans.union(each.select(F.explode("c.occurrences").alias("x")).select("x.path", "x.start_line", "x.end_line"))
+    spans = spans.where((F.col("z") - F.col("a") + 1 >= min_lines) & (F.col("a") <= F.col("z")))
+    plain = F.regexp_replace(F.regexp_replace("path", "/(\\./)+", "/"), "^(\\./)+", "")
+    return spans.select(plain.alias("path"), F.explode(F.sequence("a", "z")).alias("line")).distinct()
+
+
+def agreement(a: DataFrame, b: DataFrame) -> dict:
+    """How far two line sets (path, line) agree."""
+    from pyspark.sql import functions as F
+
+    both = a.withColumn("a", F.lit(True)).join(b.withColumn("b", F.lit(True)), ["path", "line"], "full_outer")
+    r = both.agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b")).first()
+    union = r.both + r.only_a + r.only_b
+    return r.asDict() | {"union": union, "jaccard_pct": 100.0 * r.both / union if union else 100.0}
+
+
+def slice_json(result: dict, path: str, start_line: int, end_line: int) -> str:
+    return json.dumps({"file": path, "startLine": start_line, "endLine": end_line} | result, indent=2, ensure_ascii=False)
+
+
+def slice_text(result: dict, path: str, start_line: int, end_line: int) -> str:
+    """What goes in and comes out of a slice, and what keeps it from being moved."""
+    usage = lambda v: f"  {v['type']} {v['name']}" + (f", changed in line {v['mutationLine']}" if "mutationLine" in v else "")
+    out = [f"{path}:{start_line}-{end_line} in {result['enclosing']}"]
+    for k in ("inputs", "mutations", "outputs"):
+        out += [f"{k}:", *(map(usage, result[k]) if result[k] else ["  none"])]
+    out += ["escapes:", *([f"  line {e['line']}: {e['description']}" for e in result["escapes"]] or ["  none"])]
+    return "\n".join([*out, "can be moved" if result["isCleanlyExtractable"] else "can't be moved as it is", result["suggestedSignature"]])
+
+
+def complexity_markdown(scores: list[dict], threshold: int = 0) -> str:
+    shown = [r for r in scores if r["score"] >= threshold]
+    return markdown("Complexity", ["score", "declaration", "place"], [[r["score"], r["name"], f"{r['path']}:{r['start_line']}"] for r in shown])
+
+
 def annotation(level: str, path: str, line: int, message: str) -> str:
     """A line that continuous-integration runners show beside the code."""
     escape = lambda s: s.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?(.*)$")
 GIT = re.compile(r'^diff --git ("?a/.*"?) ("?b/.*"?)$')
@@ -56,7 +57,7 @@ def parse(text: str) -> list[FileDiff]:
             now.ranges.append((start, line - 1))
         start = None
 
-    lines = (text or "").split("\n")
+    lines, by_git = (text or "").split("\n"), False
     for i, s in enumerate(lines):
         if old_left > 0 or new_left > 0:
             if s.startswith("+"):
@@ -73,10 +74,10 @@ def parse(text: str) -> list[FileDiff]:
                 close()
             continue
         if m := GIT.match(s):
-            now = FileDiff(_path(m[1]), _path(m[2]))
+            now, by_git = FileDiff(_path(m[1]), _path(m[2])), True
             files.append(now)
         elif s.startswith("--- ") and i + 1 < len(lines) and lines[i + 1].startswith("+++ "):
-            if now is None or now.ranges or not any(x.startswith("diff --git") for x in lines[:i]):
+            if now is None or now.ranges or not by_git:
                 now = FileDiff()
                 files.append(now)
             now.old_path = _path(s[4:])
@@ -108,3 +109,16 @@ def changed_ranges(diffs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["diff_id", "path", "start", "end"])
 
     return diffs.select("diff_id", "text").mapInPandas(run, "diff_id string, path string, start int, end int")
+
+
+def relative_to(ranges: DataFrame, folder: str) -> DataFrame:
+    """``ranges`` with paths from ``folder``, itself a path from where they now begin; what lies outside goes.
+
+    A ``folder`` that is a file leaves that file, under its name.
+    """
+    folder = folder.strip("/")
+    if folder in ("", "."):
+        return ranges
+    own, inside = F.col("path") == folder, F.col("path").startswith(folder + "/")
+    path = F.when(own, F.element_at(F.split("path", "/"), -1)).otherwise(F.expr(f"substring(path, {len(folder) + 2})"))
+    return ranges.where(own | inside).withColumn("path", path)
