@@ -15,6 +15,7 @@ from tidewrack.functions import globs
 from tidewrack.operators import clusters, complexity, dataflow, graph, matching, ranges, similarity, tokens
 from tidewrack.plans.lineage import cut
 from tidewrack.session import table
+from tidewrack.sources import cache
 
 K, ITEM_K, CAP = 40, 10, 50
 SPLIT_DAY = "1998-04-25"
@@ -113,8 +114,34 @@ def kgram_buckets(t):
     return tokens.bucket_sizes(tokens.kgrams(t("documents"), K))
 
 
+_made: dict[tuple, DataFrame] = {}
+
+
+def once(make):
+    """``make(t)``, computed once for the same files of ``documents`` in an application: several queries start from it."""
+
+    def run(t) -> DataFrame:
+        docs = t("documents")
+        of = cache.fingerprint(docs)
+        key = (docs.sparkSession.sparkContext.applicationId, id(docs.sparkSession), of, make.__name__)
+        if of is None:
+            return cut(make(t))
+        if key not in _made:
+            _made[key] = cut(make(t))
+        return _made[key]
+
+    return run
+
+
+@once
 def _pairs(t) -> DataFrame:
-    return matching.clone_pairs(cut(tokens.kgrams(t("documents"), K)), K, CAP)
+    grams = cut(tokens.kgrams(t("documents"), K))
+    return matching.clone_pairs(grams, K, CAP)
+
+
+@once
+def _maximal(t) -> DataFrame:
+    return matching.maximal_pairs(_pairs(t))
 
 
 @query(f"WITH {PAIRS_CTE} SELECT * FROM pairs")
@@ -124,12 +151,12 @@ def exact_clone_pairs(t):
 
 @query(f"WITH {PAIRS_CTE} SELECT * FROM mx")
 def maximal_clone_pairs(t):
-    return matching.maximal_pairs(cut(_pairs(t)))
+    return _maximal(t)
 
 
+@once
 def _placed(t) -> DataFrame:
-    found = clusters.spans(cut(matching.maximal_pairs(cut(_pairs(t)))))
-    return cut(clusters.span_lines(found, t("documents")))
+    return clusters.span_lines(clusters.spans(_maximal(t)), t("documents"))
 
 
 @query(f"WITH RECURSIVE {SPANS_CTE} SELECT c.doc_id AS first_doc, c.start AS first_start, n.n_spans, n.n_docs FROM (SELECT cluster, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM pl GROUP BY cluster) n JOIN vi c ON c.id = n.cluster")
@@ -140,10 +167,15 @@ def span_clusters(t):
     return rows.select(F.col("f.doc_id").alias("first_doc"), F.col("f.start").alias("first_start"), "n_spans", "n_docs")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPANS_CTE}, rk AS (SELECT *, row_number() OVER (PARTITION BY cluster, doc_id ORDER BY n_tokens DESC, start) AS i FROM sp),
+gr AS (SELECT DISTINCT cluster, doc_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(s BIGINT, n BIGINT)[]) AS kept FROM rk UNION ALL
+  SELECT gr.cluster, gr.doc_id, rk.i, CASE WHEN len(list_filter(kept, lambda k: rk.start < k.s + k.n AND k.s < rk.start + rk.n_tokens)) = 0 THEN list_append(kept, {{'s': CAST(rk.start AS BIGINT), 'n': CAST(rk.n_tokens AS BIGINT)}}) ELSE kept END
+  FROM gr JOIN rk ON rk.cluster = gr.cluster AND rk.doc_id = gr.doc_id AND rk.i = gr.i + 1),
+ks AS (SELECT cluster, doc_id, unnest(kept) AS k FROM (SELECT cluster, doc_id, arg_max(kept, i) AS kept FROM gr GROUP BY cluster, doc_id))
+SELECT DISTINCT doc_id, k.s AS start, k.n AS n_tokens FROM ks WHERE cluster IN (SELECT cluster FROM ks GROUP BY cluster HAVING count(*) >= 2)""")
 def span_clusters_without_overlaps(t):
     """Spans that stay in their clusters after overlaps are removed, in greedy order."""
-    found = clusters.spans(cut(matching.maximal_pairs(cut(_pairs(t)))))
+    found = clusters.spans(_maximal(t))
     return clusters.without_overlaps(found).select("doc_id", "start", "n_tokens").distinct()
 
 
@@ -215,8 +247,9 @@ def near_dup_pairs(t):
     return _near(t)
 
 
+@once
 def _members(t) -> DataFrame:
-    return cut(clusters.members(_near(t)))
+    return clusters.members(_near(t))
 
 
 @query(f"WITH RECURSIVE {COMP_CTE} SELECT * FROM comp")
@@ -633,8 +666,6 @@ def suppressed_rows(t):
 FROM (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents) d FULL JOIN (SELECT CASE WHEN doc_id % 5 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 2 = 0) c ON c.doc_id = d.doc_id""")
 def cache_work_list(t):
     """What an extraction with a cache of earlier texts has to do: hit, extract or prune."""
-    from tidewrack.sources import cache
-
     docs = t("documents").select(F.col("doc_id").alias("path"), cache.content_hash(F.col("text")).alias("content_hash"))
     old = t("documents").where("doc_id % 2 = 0").select(
         F.when(F.col("doc_id") % 5 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("path"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.operators.matching import side_length
 from tidewrack.operators.tokens import line_array, line_starts, normalized, token_array, token_counts
 from tidewrack.plans.components import connected_components
+from tidewrack.plans.lineage import cut
 
 #: Lexemes that tell a clone's category.
 CONTROL = ("if", "for", "while", "switch", "case", "return", "try", "catch", "await", "yield")
@@ -33,9 +36,15 @@ def rollup(of: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def ranked(clusters: DataFrame) -> DataFrame:
-    """Clusters with display_id by lines saved, tokens, component."""
-    order = Window.orderBy(F.desc("lines_saved"), F.desc("token_count"), "component")
-    return clusters.withColumn("display_id", F.row_number().over(order))
+    """Clusters with display_id by lines saved, tokens, component: sorted, and numbered by the partitions' sizes."""
+    order = clusters.orderBy(F.desc("lines_saved"), F.desc("token_count"), "component")
+    rows = cut(order.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # one row for each partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    out = rows.withColumn("_part", part).join(starts, "_part")
+    return out.withColumn("display_id", F.col("_before") + place + 1).select(*clusters.columns, "display_id")
 
 
 def top(clusters: DataFrame, k: int) -> DataFrame:
@@ -117,11 +126,15 @@ def without_overlaps(of: DataFrame) -> DataFrame:
     """
 
     def greedy(pdf):
-        kept = []
-        for r in pdf.sort_values(["n_tokens", "start"], ascending=[False, True]).itertuples(index=False):
-            if all(r.start >= s + n or r.start + r.n_tokens <= s for s, n in kept):
-                kept.append((r.start, r.n_tokens))
-        return pdf[[(s, n) in set(kept) for s, n in zip(pdf.start, pdf.n_tokens)]]
+        starts, ends, rows = [], [], []  # of the kept, in order: they don't overlap
+        order = pdf.sort_values(["n_tokens", "start"], ascending=[False, True])
+        for i, s, n in zip(order.index, order.start, order.n_tokens):
+            at = bisect(starts, s)
+            if (not at or ends[at - 1] <= s) and (at == len(starts) or s + n <= starts[at]):
+                starts.insert(at, s)
+                ends.insert(at, s + n)
+                rows.append(i)
+        return pdf.loc[rows]
 
     kept = of.groupBy("cluster", "doc_id").applyInPandas(greedy, of.schema)
     many = kept.groupBy("cluster").agg(F.count("*").alias("_n")).where("_n >= 2").select("cluster")

@@ -2,8 +2,8 @@
 
 Equal k-grams are seeds. Seeds of two texts on one diagonal whose positions follow one another make an island,
 and an island of m seeds is an equal run of m + k - 1 tokens, as long as it can be. Buckets of over
-``max_bucket`` occurrences seed nothing, but runs may pass through them: all equal k-grams on the diagonals of
-seeds are joined, and islands without a seed are dropped.
+``max_bucket`` occurrences seed nothing, but runs may pass through them: where an island of seeds ends at frequent
+k-grams, the run of these in its first text is compared along its diagonal, and what is equal joins the island.
 """
 
 from __future__ import annotations
@@ -30,13 +30,20 @@ def clone_pairs(grams: DataFrame, k: int, max_bucket: int = 50) -> DataFrame:
     by = ["doc_a", "doc_b", "diag"]
     diag = (F.col("pos_b") - F.col("pos_a")).alias("diag")
     seeds = a.where(F.col("size") <= max_bucket).join(b, ["h1", "h2"]).where(far).select("doc_a", "doc_b", diag, "pos_a", F.lit(True).alias("seed"))
-    # through buckets above the cap, on the seeds' diagonals only
-    common = shared.where(F.col("size") > max_bucket)
-    on = seeds.select(*by).distinct()
+    # through buckets above the cap, where an island ends: there a run of frequent k-grams starts in text a, or one ends
+    # where the island starts
+    common = shared.where(F.col("size") > max_bucket).select("doc_id", "pos", "h1", "h2")
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    runs = common.withColumn("run", run).groupBy(F.col("doc_id").alias("doc_a"), "run").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).drop("run")
+    island = F.col("pos_a") - F.row_number().over(Window.partitionBy(*by).orderBy("pos_a"))
+    islands = seeds.withColumn("island", island).groupBy(*by, "island").agg((F.min("pos_a") - 1).alias("before"), (F.max("pos_a") + 1).alias("behind"))
+    ends = islands.join(runs.withColumnRenamed("low", "behind"), ["doc_a", "behind"]).select(*by, F.col("behind").alias("low"), "high")
+    starts = islands.join(runs.withColumnRenamed("high", "before"), ["doc_a", "before"]).select(*by, "low", F.col("before").alias("high"))
+    needed = ends.union(starts).distinct().select(*by, F.explode(F.sequence("low", "high")).alias("pos_a"))
     ca = common.select(F.col("doc_id").alias("doc_a"), F.col("pos").alias("pos_a"), "h1", "h2")
     cb = common.select(F.col("doc_id").alias("doc_b"), F.col("pos").alias("pos_b"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    through = on.join(ca, "doc_a").withColumn("pos_b", F.col("pos_a") + F.col("diag")).join(cb, ["doc_b", "pos_b"])
-    through = through.where("h1 = g1 and h2 = g2").select(*by, "pos_a", F.lit(False).alias("seed"))
+    through = needed.withColumn("pos_b", F.col("pos_a") + F.col("diag")).join(cb, ["doc_b", "pos_b"]).join(ca, ["doc_a", "pos_a"])
+    through = through.where("h1 = g1 and h2 = g2").select(*by, "pos_a", F.lit(False).alias("seed")).distinct()
     runs = _islands(seeds.union(through), k, by)
     return runs.select("doc_a", "start_a", "doc_b", (F.col("start_a") + F.col("diag")).alias("start_b"), "n_tokens")
 
@@ -46,16 +53,28 @@ def side_length(pairs: DataFrame, side: str, of: str = "") -> F.Column:
     return F.col(of + (f"n_{side}" if f"n_{side}" in pairs.columns else "n_tokens"))
 
 
+#: Tokens of a bin: pairs are compared that have one in common.
+BIN = 64
+
+
 def maximal_pairs(pairs: DataFrame) -> DataFrame:
-    """``pairs`` without those that lie, both sides, inside a longer pair of the same two texts, either way round."""
-    q = pairs.select(*(F.col(c).alias(f"q_{c}") for c in pairs.columns))
-    n = lambda s, of="": side_length(pairs, s, of)
-    inside = lambda s, t: (F.col(f"start_{s}") >= F.col(f"q_start_{t}")) & (F.col(f"start_{s}") + n(s) <= F.col(f"q_start_{t}") + n(t, "q_"))
-    straight = inside("a", "a") & inside("b", "b")
-    turned = (F.col("doc_a") == F.col("doc_b")) & inside("a", "b") & inside("b", "a")
-    longer = n("a", "q_") + n("b", "q_") > n("a") + n("b")
-    same = (F.col("doc_a") == F.col("q_doc_a")) & (F.col("doc_b") == F.col("q_doc_b")) & longer
-    return pairs.join(q, same & (straight | turned), "left_anti")
+    """``pairs`` without those that lie, both sides, inside a longer pair of the same two texts, either way round.
+
+    A longer pair is laid out in the bins that its side covers, so a pair meets those only that cover its start.
+    """
+    bins = lambda start, n: F.explode(F.sequence(F.floor(start / BIN), F.floor((start + n - 1) / BIN))).alias("bin")
+
+    def laid(a: str, b: str) -> list:
+        sides = ((F.col(f"start_{s}"), side_length(pairs, s)) for s in (a, b))
+        (start, n), (other, m) = sides
+        return ["doc_a", "doc_b", start.alias("low_a"), (start + n).alias("high_a"), other.alias("low_b"), (other + m).alias("high_b"), (n + m).alias("total"), bins(start, n)]
+
+    covers = pairs.select(*laid("a", "b")).union(pairs.where("doc_a = doc_b").select(*laid("b", "a")))
+    n_a, n_b = side_length(pairs, "a", "p."), side_length(pairs, "b", "p.")
+    p, q = pairs.withColumn("bin", F.floor(F.col("start_a") / BIN)).alias("p"), covers.alias("q")
+    same = (F.col("p.doc_a") == F.col("q.doc_a")) & (F.col("p.doc_b") == F.col("q.doc_b")) & (F.col("p.bin") == F.col("q.bin"))
+    inside = (F.col("p.start_a") >= F.col("low_a")) & (F.col("p.start_a") + n_a <= F.col("high_a")) & (F.col("p.start_b") >= F.col("low_b")) & (F.col("p.start_b") + n_b <= F.col("high_b"))
+    return p.join(q, same & inside & (F.col("total") > n_a + n_b), "left_anti").select(*pairs.columns)
 
 
 def overlaps(left: DataFrame, right: DataFrame, k: int, salts: int = 16) -> DataFrame:

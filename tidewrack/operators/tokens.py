@@ -43,10 +43,11 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 def tokens(docs: DataFrame, ignore_literals: bool = True, ignore_identifiers: bool = False) -> DataFrame:
     """(doc_id, pos, line, norm, orig), a row for each token; pos and line from 0."""
-    # positions run over the text; a line's first one is the number of tokens before it
-    of_text = docs.select("doc_id", F.posexplode(token_array(F.col("text"))).alias("pos", "orig"))
-    starts = line_starts(docs)
-    placed = of_text.join(starts, "doc_id").where("pos >= first and pos < first + n")
+    # a token lies in one line, and its position is that of the line's first token and its place there
+    lines = docs.select("doc_id", F.posexplode(line_array(F.col("text"))).alias("line", "s")).withColumn("t", token_array(F.col("s")))
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.select("doc_id", "line", "t", F.coalesce(F.sum(F.size("t")).over(before), F.lit(0)).cast("int").alias("first"))
+    placed = lines.select("doc_id", "line", "first", F.posexplode("t").alias("k", "orig")).withColumn("pos", F.col("first") + F.col("k"))
     return placed.select("doc_id", "pos", "line", normalized(F.col("orig"), ignore_literals, ignore_identifiers).alias("norm"), "orig")
 
 
