@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidewrack import catalogue
+from tidewrack import catalogue, catalogue_code  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

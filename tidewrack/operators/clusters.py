@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.operators.matching import side_length
+from tidewrack.operators.ordering import placed as numbered
 from tidewrack.operators.tokens import line_array, line_starts, normalized, token_array, token_counts
 from tidewrack.plans.components import connected_components
-from tidewrack.plans.lineage import cut
 
 #: Lexemes that tell a clone's category.
 CONTROL = ("if", "for", "while", "switch", "case", "return", "try", "catch", "await", "yield")
@@ -36,15 +36,8 @@ def rollup(of: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def ranked(clusters: DataFrame) -> DataFrame:
-    """Clusters with display_id by lines saved, tokens, component: sorted, and numbered by the partitions' sizes."""
-    order = clusters.orderBy(F.desc("lines_saved"), F.desc("token_count"), "component")
-    rows = cut(order.withColumn("_at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # one row for each partition
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))
-    out = rows.withColumn("_part", part).join(starts, "_part")
-    return out.withColumn("display_id", F.col("_before") + place + 1).select(*clusters.columns, "display_id")
+    """Clusters with display_id by lines saved, tokens, component."""
+    return numbered(clusters, [F.desc("lines_saved"), F.desc("token_count"), F.asc("component")], "display_id")
 
 
 def top(clusters: DataFrame, k: int) -> DataFrame:

@@ -568,3 +568,21 @@ def results(report: SliceReport, names: dict[str, str] | None = None) -> dict[st
             "suggestedSignature": dataflow.signature((names or {}).get(u.unit, "_extracted"), pairs["inputs"], pairs["outputs"], u.is_async, params),
         }
     return out
+
+
+def signatures(report: SliceReport, name: str = "_extracted") -> DataFrame:
+    """(unit, inputs, outputs, is_clean, signature) of each unit without an error, names joined by commas; in tasks, for any number."""
+    lists = {k: getattr(report, k).groupBy("unit").agg(F.array_sort(F.collect_list(F.struct(at, "name", "type"))).alias(k)) for k, at in (("inputs", "at"), ("outputs", "declared"))}
+    rows = report.units.where("error is null").join(lists["inputs"], "unit", "left").join(lists["outputs"], "unit", "left")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for unit, clean, waits, params, ins, outs in zip(p.unit, p.is_clean, p.is_async, p.type_params, p.inputs, p.outputs):
+                pairs = [[(v["name"], v["type"]) for v in (x if x is not None else [])] for x in (ins, outs)]
+                kinds = " ".join(t for x in pairs for _, t in x)
+                used = [t["source"] for t in params if re.search(rf"\b{re.escape(t['name'])}\b", kinds)]
+                out.append((unit, *(",".join(n for n, _ in x) for x in pairs), bool(clean), dataflow.signature(name, *pairs, bool(waits), used)))
+            yield pd.DataFrame(out, columns=["unit", "inputs", "outputs", "is_clean", "signature"])
+
+    return rows.select("unit", "is_clean", "is_async", "type_params", "inputs", "outputs").mapInPandas(run, "unit string, inputs string, outputs string, is_clean boolean, signature string")
