@@ -33,6 +33,10 @@ from tidewrack.llm.pieces import LETTERS, NUMBERS, PieceEncoder, byte_characters
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\t\n\r {LETTERS}{NUMBERS}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
 
 
+#: Words that an encoder remembers, after a space and without: some 50 MB in each Python worker.
+KEPT = 150_000
+
+
 @functools.cache
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -67,7 +71,7 @@ def library_tokenizer(path: str, pattern: str):
 
 @functools.cache
 def encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(library_tokenizer(path, pattern), PIECE)
+    return PieceEncoder(library_tokenizer(path, pattern), PIECE, most=KEPT)
 
 
 @functools.cache
@@ -98,12 +102,15 @@ def offsets_of(ids: bytes, raw: bytes, path: str) -> tuple[np.ndarray, np.ndarra
     return character[starts] - 1, character[ends - 1]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False, digests: bool = False) -> DataFrame:
     """(doc_id, ids binary, n_tokens long) of every row, ids as little-endian unsigned 32-bit integers.
 
-    With ``offsets`` also starts and ends, arrays of character places, end exclusive.
+    With ``offsets`` also starts and ends, arrays of character places, end exclusive. With ``digests`` also
+    decoded_sha256, of the bytes that the ids decode to. All in one pass: a second Python stage would hold the
+    encoder in another worker.
     """
     bound_batches(docs.sparkSession)
+    more = ([("starts", "array<long>"), ("ends", "array<long>")] if offsets else []) + ([("decoded_sha256", "string")] if digests else [])
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
@@ -114,11 +121,15 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
             if offsets:
                 places = [offsets_of(x, (t or "").encode(), path) for x, t in zip(ids, texts)]
                 cols += [pa.array([p[k] for p in places], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.record_batch(cols, names)
+            if digests:
+                cols.append(pa.array([hashlib.sha256(decoded_bytes(x, path)).hexdigest() for x in ids], pa.string()))
+            yield pa.record_batch(cols, ["doc_id", "ids", "n_tokens", *(n for n, _ in more)])
+
+    return _texts(docs).mapInArrow(ids_of, ", ".join(["doc_id long, ids binary, n_tokens long", *(f"{n} {t}" for n, t in more)]))
 
-    names = ["doc_id", "ids", "n_tokens", *(["starts", "ends"] if offsets else [])]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(ids_of, "doc_id long, ids binary, n_tokens long" + (", starts array<long>, ends array<long>" if offsets else ""))
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def decode(path: str, ids: Column, as_text: bool = False) -> Column:
@@ -140,17 +151,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     The last is of the tokens' first characters, and then their ends, as little-endian unsigned 32-bit integers.
     """
-    ids = encode(docs, path, pattern, offsets=True)
+    bound_batches(docs.sparkSession)
+    names = ["ids_sha256", "decoded_sha256", "offsets_sha256"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, sha = encoder(path, pattern), lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            places = zip(b.column("starts"), b.column("ends"))
-            shas = [
-                [hashlib.sha256(x).hexdigest() for x in ids],
-                [hashlib.sha256(decoded_bytes(x, path)).hexdigest() for x in ids],
-                [hashlib.sha256(b"".join(p.values.to_numpy().astype("<u4").tobytes() for p in two)).hexdigest() for two in places],
-            ]
-            yield pa.record_batch([b.column("doc_id"), b.column("n_tokens"), *(pa.array(s, pa.string()) for s in shas)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"])
-
-    return ids.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")
+            n, rows = [], []
+            for t in b.column(1):
+                text = t.as_py() or ""
+                ids = enc.ids(text)
+                places = b"".join(p.astype("<u4").tobytes() for p in offsets_of(ids, text.encode(), path))
+                n.append(len(ids) // 4)
+                rows.append((sha(ids), sha(decoded_bytes(ids, path)), sha(places)))
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in range(3))], ["doc_id", "n_tokens", *names])
+
+    return _texts(docs).mapInArrow(digest, "doc_id long, n_tokens long, " + ", ".join(f"{x} string" for x in names))

@@ -45,14 +45,14 @@ SHOWN = _shown()
 class Kept(dict):
     """text -> ids as little-endian unsigned 32-bit integers, by ``ids_of`` where not remembered."""
 
-    def __init__(self, ids_of):
+    def __init__(self, ids_of, most: int | None = None):
         super().__init__()
-        self.ids_of = ids_of
+        self.ids_of, self.most = ids_of, most or KEPT_PIECES
 
     def __missing__(self, text: str) -> bytes:
         ids = self.ids_of(text)
         if len(text) <= KEPT_CHARS:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[text] = ids
         return ids
@@ -66,14 +66,14 @@ class PieceEncoder:
     plain texts are cut at white space. What lies between is remembered as well as the pieces.
     """
 
-    def __init__(self, tokenizer, pattern: str, prepare=None, kept: bool = True):
+    def __init__(self, tokenizer, pattern: str, prepare=None, kept: bool = True, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         tokenizer.encode_special_tokens = True
         self.tokenizer, self.prepare, self.kept = tokenizer, prepare or (lambda t: t), kept
         self.model = tokenizer.model.tokenize
         self.find = re.compile(pattern).findall
-        self.words = Kept(self._by_pieces)
-        self.spaced = Kept(lambda w: self._by_pieces(" " + w))
+        self.words = Kept(self._by_pieces, most)
+        self.spaced = Kept(lambda w: self._by_pieces(" " + w), most)
         self.line_end = self._encoded("\n") if kept else b""
 
     def ids(self, text: str | None) -> bytes:
