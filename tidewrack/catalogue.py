@@ -483,22 +483,15 @@ def private_candidates(t):
     return graph.private_candidates(nodes, _reached(t, "Brand#1", edges), edges, tests).withColumnRenamed("id", "part_id")
 
 
-@query("""WITH n AS (SELECT s_suppkey AS id, s_nationkey AS f FROM supplier), g AS (SELECT n_regionkey AS grp, n_nationkey AS f FROM nation WHERE n_nationkey < 10)
+@query("""WITH n AS (SELECT s_suppkey AS id, s_nationkey AS f FROM supplier), g AS (SELECT n_regionkey AS grp, n_nationkey AS f FROM nation)
 SELECT DISTINCT a.id AS src, b.id AS dst FROM g ga JOIN n a ON a.f = ga.f JOIN g gb ON gb.grp = ga.grp AND gb.f <> ga.f JOIN n b ON b.f = gb.f""")
 def conditional_group_edges(t):
     """Suppliers are declarations, nations files, regions their conditional groups."""
     nodes = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("file"))
-    groups = t("nation").where("n_nationkey < 10").select(F.col("n_regionkey").alias("grp"), F.col("n_nationkey").alias("file"))
+    groups = t("nation").select(F.col("n_regionkey").alias("grp"), F.col("n_nationkey").alias("file"))
     return graph.group_edges(nodes, groups)
 
 
-@query(ORACLES["conditional_group_edges"].replace(" WHERE n_nationkey < 10", ""))
-def conditional_group_edges_all(t):
-    """The same with all nations in groups."""
-    nodes = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("file"))
-    return graph.group_edges(nodes, t("nation").select(F.col("n_regionkey").alias("grp"), F.col("n_nationkey").alias("file")))
-
-
 @query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT p_partkey AS parent, p_partkey + 1 AS child FROM part WHERE p_size = 7 AND p_partkey + 1 IN (SELECT p_partkey FROM part)),
 es AS (SELECT * FROM ed UNION SELECT * FROM s), r AS (SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#1' UNION SELECT dst FROM r JOIN es ON src = id) SELECT id FROM r""")
 def sealed_expansion(t):
@@ -513,7 +506,7 @@ def sealed_expansion(t):
 
 
 _LOG = "lg AS (SELECT user_id AS unit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS \"at\", event_type AS var, value >= 75 AS w FROM events)"
-_SLICE = "sl AS (SELECT unit, slice, slice * 20 + 5 AS first, slice * 20 + 14 AS last FROM (SELECT DISTINCT unit FROM lg), (SELECT unnest(range(3)) AS slice))"
+_SLICE = """sl AS (SELECT unit, slice, slice * 20 + 5 AS first, slice * 20 + 14 AS last FROM (SELECT unit, n, unnest(range(0, n // 20 + 1)) AS slice FROM (SELECT unit, count(*) AS n FROM lg GROUP BY unit)) WHERE slice * 20 + 5 <= n)"""
 _USE = f"{_LOG}, {_SLICE}, us AS (SELECT lg.*, d.declared, slice, first, last FROM lg JOIN (SELECT unit, var, min(\"at\") AS declared FROM lg GROUP BY unit, var) d USING (unit, var) JOIN sl USING (unit))"
 
 
@@ -524,9 +517,16 @@ def _log(t) -> DataFrame:
     return t("events").select(F.col("user_id").alias("unit"), at.alias("at"), F.col("event_type").alias("var"), (F.col("value") >= 75).alias("is_write"), F.lit(False).alias("is_decl"))
 
 
+def _parts(t, step: int) -> DataFrame:
+    """(unit, n, i): for each user, i from 0 as often as ``step`` places begin in a log of n."""
+    n = t("events").groupBy(F.col("user_id").alias("unit")).agg(F.count("*").cast("int").alias("n"))
+    return n.select("unit", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / step).cast("int"))).alias("i"))
+
+
 def _slices(t) -> DataFrame:
-    rows = t("events").select(F.col("user_id").alias("unit")).distinct().select("unit", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("slice"))
-    return rows.select("unit", "slice", (F.col("slice") * 20 + 5).alias("first"), (F.col("slice") * 20 + 14).alias("last"))
+    """Ten of every twenty places of a log, as far as it goes."""
+    rows = _parts(t, 20).select("unit", "n", F.col("i").alias("slice"), (F.col("i") * 20 + 5).alias("first"), (F.col("i") * 20 + 14).alias("last"))
+    return rows.where("first <= n").drop("n")
 
 
 @query(f"WITH {_USE} SELECT unit, slice, var, bool_or(w) AS is_mutated FROM us WHERE \"at\" BETWEEN first AND last AND declared < first GROUP BY unit, slice, var")
@@ -548,9 +548,10 @@ def slice_outputs(t):
 
 
 @query(f"""WITH {_USE} {_OUT} UNION SELECT DISTINCT unit, slice, var FROM us a WHERE "at" BETWEEN first AND last AND w AND EXISTS (
-SELECT 1 FROM us b WHERE (b.unit, b.slice, b.var) = (a.unit, a.slice, a.var) AND NOT b.w AND b."at" BETWEEN 2 AND 50 AND b.first >= 2 AND b.last <= 50 AND b.declared < 4)""")
+SELECT 1 FROM us b WHERE (b.unit, b.slice, b.var) = (a.unit, a.slice, a.var) AND NOT b.w AND b.slice % 3 < 2 AND b."at" BETWEEN b.slice // 3 * 60 + 2 AND b.slice // 3 * 60 + 50 AND b.declared < b.slice // 3 * 60 + 4)""")
 def slice_outputs_in_loop(t):
-    loops = t("events").select(F.col("user_id").alias("unit")).distinct().select("unit", F.lit(2).alias("loop_first"), F.lit(50).alias("loop_last"), F.lit(4).alias("carry"))
+    """Of every sixty places, those from 2 to 50 are a loop."""
+    loops = _parts(t, 60).select("unit", (F.col("i") * 60 + 2).alias("loop_first"), (F.col("i") * 60 + 50).alias("loop_last"), (F.col("i") * 60 + 4).alias("carry"))
     return dataflow.outputs(_log(t), _slices(t), loops)
 
 
@@ -573,60 +574,6 @@ def slice_extractable(t):
     return dataflow.extractable(_slices(t), dataflow.escapes(_jumps(t), _slices(t)))
 
 
-# the same over whole logs: as many slices, and as many loops of three slices, as a log is long
-
-
-_WHOLE = """sl AS (SELECT unit, slice, slice * 20 + 5 AS first, slice * 20 + 14 AS last FROM (SELECT unit, n, unnest(range(0, n // 20 + 1)) AS slice FROM (SELECT unit, count(*) AS n FROM lg GROUP BY unit)) WHERE slice * 20 + 5 <= n)"""
-
-
-def _whole_sql(name: str) -> str:
-    return ORACLES[name].replace(_SLICE, _WHOLE)
-
-
-def _whole(t, step: int) -> DataFrame:
-    """(unit, n, i): for each user, i from 0 as often as ``step`` places begin in a log of n."""
-    n = t("events").groupBy(F.col("user_id").alias("unit")).agg(F.count("*").cast("int").alias("n"))
-    return n.select("unit", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / step).cast("int"))).alias("i"))
-
-
-def _whole_slices(t) -> DataFrame:
-    rows = _whole(t, 20).select("unit", "n", F.col("i").alias("slice"), (F.col("i") * 20 + 5).alias("first"), (F.col("i") * 20 + 14).alias("last"))
-    return rows.where("first <= n").drop("n")
-
-
-@query(_whole_sql("slice_inputs"))
-def slice_inputs_whole(t):
-    return dataflow.inputs(_log(t), _whole_slices(t))
-
-
-@query(_whole_sql("slice_mutations"))
-def slice_mutations_whole(t):
-    return dataflow.mutations(_log(t), _whole_slices(t))
-
-
-@query(_whole_sql("slice_outputs"))
-def slice_outputs_whole(t):
-    return dataflow.outputs(_log(t), _whole_slices(t))
-
-
-@query(f"""WITH {_LOG}, {_WHOLE}{_USE.removeprefix(f"{_LOG}, {_SLICE}")} {_OUT} UNION SELECT DISTINCT unit, slice, var FROM us a WHERE "at" BETWEEN first AND last AND w AND EXISTS (
-SELECT 1 FROM us b WHERE (b.unit, b.slice, b.var) = (a.unit, a.slice, a.var) AND NOT b.w AND b.slice % 3 < 2 AND b."at" BETWEEN b.slice // 3 * 60 + 2 AND b.slice // 3 * 60 + 50 AND b.declared < b.slice // 3 * 60 + 4)""")
-def slice_outputs_in_loop_whole(t):
-    """Of every sixty places, those from 2 to 50 are a loop."""
-    loops = _whole(t, 60).select("unit", (F.col("i") * 60 + 2).alias("loop_first"), (F.col("i") * 60 + 50).alias("loop_last"), (F.col("i") * 60 + 4).alias("carry"))
-    return dataflow.outputs(_log(t), _whole_slices(t), loops)
-
-
-@query(_whole_sql("slice_escapes"))
-def slice_escapes_whole(t):
-    return dataflow.escapes(_jumps(t), _whole_slices(t))
-
-
-@query(_whole_sql("slice_extractable"))
-def slice_extractable_whole(t):
-    return dataflow.extractable(_whole_slices(t), dataflow.escapes(_jumps(t), _whole_slices(t)))
-
-
 # paths, suppression, cache
 
 

@@ -47,20 +47,20 @@ def line_snippets(t):
     return t("documents").select("doc_id", dedupe.lines_of(F.col("text"), F.lit(2), F.lit(3)).alias("snippet"))
 
 
-@query("""WITH n AS (SELECT doc_id, least(len(string_split(coalesce(text, ''), chr(10))) + doc_id % 7, 40) AS n FROM documents),
-l AS (SELECT doc_id, unnest(range(1, n + 1)) AS i FROM n WHERE doc_id % 2 = 0), p AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l WHERE i % 5 IN (1, 2))
+@query("""WITH n AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) + doc_id % 7 AS n FROM documents),
+l AS (SELECT doc_id, unnest(range(1, n + 1)) AS i FROM n), p AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l WHERE i % 5 IN (1, 2))
 SELECT doc_id, min(i) AS start, max(i) AS "end" FROM p GROUP BY doc_id, g""")
 def unified_diff_ranges(t):
-    """A diff for each document with added, removed and kept lines; paths from a folder, others go."""
-    n = F.least(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) + F.col("doc_id") % 7, F.lit(40)).cast("int")
+    """A diff for each document, as long as it and some lines more, with added, removed and kept lines; paths from a folder."""
+    n = (F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) + F.col("doc_id") % 7).cast("int")
     docs = t("documents").select("doc_id", n.alias("n"), F.when(F.col("doc_id") % 2 == 0, "pkg/sub").otherwise("pkg").alias("folder"))
     line = lambda i: F.when(i % 5 == 1, F.concat(F.lit("-gone\n+line "), i.cast("string"))).when(i % 5 == 2, F.concat(F.lit("+line "), i.cast("string"))).otherwise(F.concat(F.lit(" line "), i.cast("string")))
     path = _text(F.col("folder"), "/d", F.col("doc_id"), ".txt")
     removed = F.size(F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: i % 5 == 1))
     kept = F.size(F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i % 5 != 1) & (i % 5 != 2)))
     text = _text("diff --git a/", path, " b/", path, "\n--- a/", path, "\n+++ b/", path, "\n@@ -1,", (removed + kept).cast("string"), " +1,", F.col("n").cast("string"), " @@\n", _joined("1", "n", line, "\n"), "\n")
-    ranges = diffs.relative_to(diffs.changed_ranges(docs.select(F.col("doc_id").cast("string").alias("diff_id"), text.alias("text"))), "pkg/sub")
-    return ranges.select(F.regexp_extract("path", r"^d(\d+)\.txt$", 1).cast("long").alias("doc_id"), "start", "end")
+    ranges = diffs.relative_to(diffs.changed_ranges(docs.select(F.col("doc_id").cast("string").alias("diff_id"), text.alias("text"))), "pkg")
+    return ranges.select(F.regexp_extract("path", r"^(?:sub/)?d(\d+)\.txt$", 1).cast("long").alias("doc_id"), "start", "end")
 
 
 # declarations
