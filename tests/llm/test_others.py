@@ -312,11 +312,53 @@ def test_pipeline_stages(spark, sf):
     assert last.count() == seen and {"doc_id", "ids", "n_tokens"} <= set(last.columns)
 
 
+def test_pipeline_as_brute_force(spark, sf):
+    """All stages again in plain Python: each row's score, all pairs' shingles, all places of all items, the patterns."""
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from tests.llm.test_texts import KINDS, plain_groups, plain_overlap
+    from tidewrack.llm import bytebpe, quality, wordhash
+
+    docs, labels, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model = quality.train(*quality.sample(docs, labels, 1500, 3000))
+    rows = [(r.doc_id, r.text or "") for r in docs.orderBy("doc_id").collect()]
+    rows = [r for r, s in zip(rows, model.score(quality.features([t for _, t in rows]))) if s >= quality.THRESHOLD]
+    groups = plain_groups([t for _, t in rows], lambda t: wordhash.words_of(t).tolist())
+    rows = [r for i, r in enumerate(rows) if groups[i] == i]
+    items = [wordhash.words_of(r.text).tolist() for r in bench.collect()]
+    held = lambda t: any(plain_overlap(i, wordhash.words_of(t).tolist()) >= 0.8 * len(i) for i in items)  # noqa: E731, items are shorter than the window
+    assert max(map(len, items)) <= 60
+    rows = [(d, t) for d, t in rows if not held(t)]
+    bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.read_ranks(queries.tokenizer_file("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = {}
+    for d, t in rows:
+        spans = sorted((m.start(), m.end()) for _, p, g, least in KINDS for m in p.finditer(t) if len(m[g]) >= least)
+        out, at = [], 0
+        while spans:
+            a, z = spans.pop(0)
+            while spans and spans[0][0] <= z:
+                z = max(z, spans.pop(0)[1])
+            out += [t[at:a], "[secret]"]
+            at = z
+        t = "".join([*out, t[at:]])
+        want[d] = (len(bpe.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want and 0 < len(got) < docs.count()
+
+
 def test_stages_on_odd_rows(spark, odd, none, sf):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    left = {}
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, sf).count() <= len(ODD)
+        left[name] = sorted((r.doc_id or 0 for r in stage(spark, docs, sf).collect()))
         assert stage(spark, none, sf).count() == 0
+    every = sorted(d or 0 for d, *_ in ODD)
+    assert set(left["quality classifier"]) <= set(every)
+    assert left["SimHash near-dedup"] == [0, 1, 3, 4, 6, 7, 8, 10]  # 2 is empty like 1; 4 is there twice, and 9 again
+    assert left["benchmark decontamination"] == left["secret scans"] == left["byte-level BPE"] == every
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

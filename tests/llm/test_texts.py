@@ -267,14 +267,14 @@ def test_fingerprint_definition():
         assert simhash.fingerprint_of(t) == want
 
 
-def plain_shingles(text):
-    w = (text or "").lower().split()
+def plain_shingles(text, words=lambda t: t.lower().split()):
+    w = words(text or "")
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def plain_groups(texts):
+def plain_groups(texts, *words):
     """Components by 0.8 of the shingles, all pairs."""
-    sets, parent = [plain_shingles(t) for t in texts], list(range(len(texts)))
+    sets, parent = [plain_shingles(t, *words) for t in texts], list(range(len(texts)))
 
     def find(x):
         while parent[x] != x:
