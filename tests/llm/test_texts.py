@@ -453,6 +453,45 @@ def test_quality_of_held_out_rows(spark, odd, none):
     assert {r.score for r in few} == {0.5}
 
 
+def test_language_prediction_as_brute_force():
+    """A text's score by plain loops over its subwords: all runs of two to four characters without an inner gap."""
+    import math
+
+    def plain(model, text):
+        low = f" {text.lower()} " if text else ""
+        c = [ord(x) if x.isalpha() else 32 for x in low]
+        mask, total, n = (1 << 64) - 1, [0.0] * len(model.languages), 0
+        for size in (2, 3, 4):
+            for i in range(len(c) - size + 1):
+                word = low[i : i + size]
+                if size == 2 and not any(x.isalpha() for x in word) or size > 2 and not all(x.isalpha() for x in word[1:-1]):
+                    continue
+                h = c[i] * 0x9E3779B97F4A7C15 & mask
+                for x in c[i + 1 : i + size]:
+                    h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 + x * 0x9E3779B97F4A7C15) & mask
+                bucket = ((h ^ h >> 32) * 0x94D049BB133111EB & mask) >> 49
+                total = [a + float(b) for a, b in zip(total, model.table[bucket])]
+                n += 1
+        z = [(a / max(n, 1) + float(b)) / model.temperature for a, b in zip(total, model.bias)]
+        e = [math.exp(x - max(z)) for x in z]
+        best = max(range(len(e)), key=lambda k: (e[k], -k))
+        return (model.languages[best], e[best] / sum(e)) if any(x.isalpha() for x in text) else ("und", 0.0)
+
+    r, samples = random.Random(4), []
+    for lang, words in (("aa", "kala mana tala sana"), ("bb", "zwyx qrst vwxz tsrq"), ("cc", "\u00e9oiu ei\u00f6u uieo \u65e5\u672c")):
+        for _ in range(12):
+            used, n = np.unique(langid.subwords(langid.padded(" ".join(r.choices(words.split(), k=6))))[0], return_counts=True)
+            samples.append((lang, used, n.astype(float)))
+    model = langid.train(samples)
+    texts = ["Kala tala!", "zwyx 12 qrst", "\u00c9oiu \u65e5\u672c, x", "a", "", "12 ?", "kala zwyx", *odd_texts(60, 9)]
+    got, score, _ = model.predict(texts)
+    for t, g, p in zip(texts, got, score):
+        alone = model.predict([t])
+        assert (alone[0][0], round(float(alone[1][0]), 9)) == (g, round(float(p), 9))  # whatever stands beside it
+        want, q = plain(model, t)
+        assert abs(p - q) < 1e-6 and (g == want or abs(p - 1 / 3) < 0.2), repr(t)
+
+
 def test_prior_estimate():
     r = np.random.default_rng(0)
     pos = np.clip(r.normal(0.8, 0.1, 4000), 0, 1)

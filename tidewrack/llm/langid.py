@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
 Subwords are the runs of two to four characters of the lower-cased text that hold no inner gap between words;
-what isn't a letter counts as a gap. Each is hashed to a row of an embedding table; a text is the mean of its
+what isn't a letter counts as a gap, as do a text's ends. Each is hashed to a row of an embedding table; a text is the mean of its
 subwords' rows, and a linear softmax over it gives the languages. Both are trained by stochastic gradient
 descent in numpy, on a bounded sample. A temperature, fitted on a part of the sample that training doesn't
 see, makes the probabilities honest, and the same part gives the least probability to accept.
@@ -56,15 +56,19 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int64), *buckets]), np.concatenate([np.zeros(0, np.int64), *places])
 
 
+def padded(text: str) -> str:
+    """Lower case between gaps: so texts that are joined share no subword, and each has those that it has alone."""
+    return f" {text.lower()} "
+
+
 def row_sums(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sum of the table's rows over its subwords, number of subwords, has a letter) of each text."""
     sums, n, some = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts)), np.zeros(len(texts), bool)
     for pieces in text_pieces(texts, SPAN):
-        lowered = [p.lower() for _, p in pieces]
+        lowered = [padded(p) for _, p in pieces]
         rows = np.array([r for r, _ in pieces])
-        ends = np.cumsum([len(p) + 1 for p in lowered])
-        joined = "\n".join(lowered)
-        b, at = subwords(joined)
+        ends = np.cumsum([len(p) for p in lowered])
+        b, at = subwords("".join(lowered))
         of = np.searchsorted(ends, at, "right")
         for k in range(table.shape[1]):
             sums[:, k] += np.bincount(rows[of], table[b, k], len(texts))
@@ -169,7 +173,7 @@ def sample(docs: DataFrame, rows_per_language: int, max_languages: int = 1000) -
                 total = np.zeros(BUCKETS, np.int64)
                 for pieces in text_pieces([t], SPAN):
                     for _, p in pieces:
-                        total += np.bincount(subwords(p.lower())[0], minlength=BUCKETS)
+                        total += np.bincount(subwords(padded(p))[0], minlength=BUCKETS)
                 used = np.flatnonzero(total)
                 out.append((used.astype("<i4").tobytes(), total[used].astype("<f8").tobytes()))
             yield pa.record_batch([b.column(0), *(pa.array([o[k] for o in out], pa.binary()) for k in (0, 1))], ["lang", "b", "c"])
