@@ -492,6 +492,19 @@ def test_language_prediction_as_brute_force():
         assert abs(p - q) < 1e-6 and (g == want or abs(p - 1 / 3) < 0.2), repr(t)
 
 
+def test_quality_features_as_alone():
+    texts = [t for _, t, *_ in ODD] + odd_texts(80, 12) + [prose(3, 80)]
+    got = quality.features(texts)
+    assert all((quality.features([t])[0] == g).all() for t, g in zip(texts, got)) and np.isfinite(got).all()
+    t = "Ab a.\n"
+    k = [int(quality.TABLE[ord(c)]) for c in t + "\n"]
+    share = np.zeros((quality.CLASSES, quality.CLASSES))
+    for a, b in zip(k, k[1:]):
+        share[a, b] += 1 / (len(k) - 1)
+    want = np.concatenate([np.sqrt(share.sum(1)), np.sqrt(share).ravel()])
+    assert np.allclose(quality.features([t])[0][: len(want)], want, atol=1e-6)
+
+
 def test_prior_estimate():
     r = np.random.default_rng(0)
     pos = np.clip(r.normal(0.8, 0.1, 4000), 0, 1)

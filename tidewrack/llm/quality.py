@@ -79,7 +79,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     shape = np.zeros((len(texts), SHAPE))
     for pieces in text_pieces(texts, SPAN):
         rows = np.array([r for r, _ in pieces])
-        cp = np.frombuffer("\n".join(p for _, p in pieces).encode("utf-32-le", "replace"), "<u4")
+        cp = np.frombuffer("".join(p + "\n" for _, p in pieces).encode("utf-32-le", "replace"), "<u4")  # each ends a line, whatever follows
         k = TABLE[np.minimum(cp, 0xFFFF)].astype(np.int64)
         k[cp > 0xFFFF] = OTHER + 1
         ends = np.cumsum([len(p) + 1 for _, p in pieces])
