@@ -126,8 +126,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
 
 # near texts: candidates by fingerprints over distinct words, links by the shingles themselves
 
-#: Seeds of the fingerprints over distinct words, and the words of a shingle.
-SEEDS, SHINGLE = (1, 2, 3), 5
+#: Seeds of the fingerprints over distinct words, the words of a shingle, and bits for the number of a table.
+SEEDS, SHINGLE, TABLE_BITS = (1, 2, 3), 5, 7
 
 
 def word_fingerprints(words: np.ndarray, seeds: tuple[int, ...] = SEEDS) -> list[int] | None:
@@ -151,7 +151,7 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(mixed(out)).view("i8")
 
 
-def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_at: int = 256, rounds: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_at: int = 256, rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, label) of ``docs`` by their texts.
 
     ``rows`` are the input's: _d, the text's digest, _m, all other columns that have an order, _h, a hash of _m, _t,
@@ -165,7 +165,7 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
 
     A group of thousands of copies isn't compared pair by pair. In each round every bucket has a pivot, in the first
     one with the commonest fingerprint, which lightly changed copies share with what they were copied from, and its
-    members outside of the pivot's component are compared with it. At last buckets that still hold several
+    members outside of the pivot's component are compared with it; buckets of one component then drop out. At last buckets that still hold several
     components compare one member of each with those of all others. So a text meets some members of a large
     component, not all; one that is near none of these stays by itself.
     """
@@ -208,41 +208,46 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
         enough = common >= similarity * (F.size("sx") + F.size("sy") - common)
         return cut(both.where(enough).select("x", "y"), pairs, sets)
 
-    masks, key = covering_masks(radius), ["t", "k"]
+    masks = covering_masks(radius)
     each = nodes.select("id", F.posexplode("fps").alias("seed", "fp"))
     common = each.groupBy("seed", "fp").agg(F.count("*").alias("n"))
     # what makes a pivot: how many texts have the fingerprint, then a hash
     weight = F.shiftleft(F.least("n", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64("id"), F.lit(1 << 32))
     each = each.join(common, ["seed", "fp"]).select("id", "seed", "fp", weight.alias("weight"))
     spread = each.select("id", "fp", "weight", "seed", F.posexplode(F.array(*map(F.lit, masks))).alias("i", "mask"))
-    member = spread.select((F.col("seed") * len(masks) + F.col("i")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "id", "fp", "weight")
-    full = member.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1").select(*key)
-    member = cut(member.join(full, key))
+    # a bucket: a hash of table and key, whose last bits are the table
+    table = F.col("seed") * len(masks) + F.col("i")
+    bucket = F.shiftleft(F.xxhash64(table, F.col("fp").bitwiseAND(F.col("mask"))), TABLE_BITS).bitwiseOR(table.cast("long"))
+    member = spread.select(bucket.alias("b"), "id", "fp", "weight")
+    full = member.groupBy("b").agg(F.count("*").alias("members")).where("members > 1").select("b")
+    member = cut(member.join(full, "b").withColumn("c", F.col("id")))
 
     links = None
-    label = spark.createDataFrame([], "id long, c long")
     for r in range(rounds):
-        named = member.join(label, "id", "left").select(*key, "id", "fp", "weight", F.coalesce("c", "id").alias("c"))
         by_ = F.col("weight") if r == 0 else F.xxhash64("id", F.lit(r))
-        pivot = named.groupBy(*key).agg(*(F.max_by(c, by_).alias(f"p{c}") for c in ("id", "fp", "c")), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-        star = named.join(pivot.drop("c0", "c1"), key).where((F.col("c") != F.col("pc")) & _near("fp", "pfp", radius))
+        pivot = member.groupBy("b").agg(*(F.max_by(c, by_).alias(f"p{c}") for c in ("id", "fp", "c")))
+        star = member.join(pivot, "b").where((F.col("c") != F.col("pc")) & _near("fp", "pfp", radius))
         found = linked(star.select(F.least("id", "pid").alias("x"), F.greatest("id", "pid").alias("y")))
         links = found if links is None else links.union(found)
-        label = connected_components(links, "x", "y").select(F.col("node").alias("id"), F.col("component").alias("c"))
-    # one member of each component that a bucket holds, if it holds several
-    named = member.join(label, "id", "left").select(*key, "id", "fp", F.coalesce("c", "id").alias("c"))
-    one = named.groupBy(*key, "c").agg(F.min("id").alias("id"), F.min_by("fp", "id").alias("fp"))
-    several = one.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
-    rest = cut(one.join(several, key), member)
+        label = connected_components(links, "x", "y").select(F.col("node").alias("id"), F.col("component").alias("now"))
+        # on go the buckets that still hold several components
+        named = member.join(label, "id", "left").select("b", "id", "fp", "weight", F.coalesce("now", "id").alias("c"))
+        mixed = named.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("b")
+        member = cut(named.join(mixed, "b"), member)
+    # one member of each component in a bucket
+    one = member.groupBy("b", "c").agg(F.min("id").alias("id"), F.min_by("fp", "id").alias("fp"))
+    sizes = one.groupBy("b").agg(F.count("*").alias("members"))
+    rest = cut(one.join(sizes, "b"), member)
     # large buckets are split once more, by a second family over what the first table left out
-    mask_of = F.get(F.array(*map(F.lit, masks)), F.col("t") % len(masks))
+    place = F.col("b").bitwiseAND((1 << TABLE_BITS) - 1).cast("int") % len(masks)
+    mask_of = F.get(F.array(*map(F.lit, masks)), place)
     finer = F.transform(F.array(*map(F.lit, covering_masks(radius, shift=7))), lambda m, t: F.xxhash64(t, F.col("fp").bitwiseAND(m.bitwiseOR(mask_of))))
-    split = rest.select(*key, "id", "fp", "c", F.explode(F.when(F.col("members") > split_at, finer).otherwise(F.array(F.lit(0).cast("long")))).alias("k2"))
-    other = split.select(*key, "k2", F.col("id").alias("y"), F.col("fp").alias("fpy"), F.col("c").alias("cy"))
+    split = rest.select("b", "id", "fp", "c", F.explode(F.when(F.col("members") > split_at, finer).otherwise(F.array(F.lit(0).cast("long")))).alias("b2"))
+    other = split.select("b", "b2", F.col("id").alias("y"), F.col("fp").alias("fpy"), F.col("c").alias("cy"))
     # a pair is taken in the first table of its seed that holds both
     apart = F.col("fp").bitwiseXOR(F.col("fpy"))
     first = F.array_position(F.transform(F.array(*map(F.lit, masks)), lambda m: apart.bitwiseAND(m) == 0), F.lit(True)) - 1
-    pairs = split.join(other, [*key, "k2"]).where((F.col("c") < F.col("cy")) & _near("fp", "fpy", radius) & (first == F.col("t") % len(masks)))
+    pairs = split.join(other, ["b", "b2"]).where((F.col("c") < F.col("cy")) & _near("fp", "fpy", radius) & (first == place))
     across = linked(pairs.select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")))
     label = connected_components(links.union(across), "x", "y").select(F.col("node").alias("id"), F.col("component").alias("c"))
     return rows, nodes, label
