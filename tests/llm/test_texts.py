@@ -315,6 +315,28 @@ def test_near_texts_as_brute_force(spark):
     assert linked <= right and len(linked) >= 0.9 * len(right) > 30
 
 
+def test_near_texts_lose_no_link(spark):
+    """Copies of one text in 0.75 to 0.95 of it, of which many are near another copy only, and texts with a common half."""
+    r, base, half = random.Random(5), prose(700, 300).split(), prose(701, 60)
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in r.sample(range(300), r.choice([2, 6, 9, 12])):
+            words[k] = f"new{i}x{k}"
+        texts.append(" ".join(words))
+        if i % 2:  # one more edit: near this copy, seldom near the first text
+            words[r.randrange(300)] = f"more{i}"
+            texts.append(" ".join(words))
+        texts.append(f"{half} {prose(800 + i, 40)}")
+    want = plain_groups(texts)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    _, nodes, label = simhash.near_texts(docs)
+    of = {x.i: x.c for x in nodes.join(label, "id", "left").selectExpr("m.i", "coalesce(c, -1 - id) as c").collect()}
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    right = {(a, b) for a, b in pairs if want[a] == want[b]}
+    assert {(a, b) for a, b in pairs if of[a] == of[b]} == right and len(right) > 100
+
+
 def test_keep_first(spark, odd, none):
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns

@@ -18,6 +18,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.arrow import bound_batches
 from tidewrack.llm.wordhash import document_words, mixed
+from tidewrack.operators.matching import _bit_table
 from tidewrack.plans.components import connected_components
-from tidewrack.plans.lineage import cut
+from tidewrack.plans.lineage import cut, drop
 
 #: Shingles that are hashed and counted at a time.
 BLOCK = 1 << 16
@@ -124,19 +128,19 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# near texts: candidates by fingerprints over distinct words, links by the shingles themselves
+# near texts: links by the shingles themselves, found by fingerprints and by the rarest shingles
 
-#: Seeds of the fingerprints over distinct words, the words of a shingle, and bits for the number of a table.
-SEEDS, SHINGLE, TABLE_BITS = (1, 2, 3), 5, 7
+#: Seed of the fingerprint over distinct words, and the words of a shingle.
+SEED, SHINGLE = 1, 5
+#: A table of fixed size counts the shingles by the first bits of their hashes, in blocks; a text's digest has so many bits.
+CELL_BITS, BLOCK_BITS, DIGEST_BITS = 20, 14, 512
 
 
-def word_fingerprints(words: np.ndarray, seeds: tuple[int, ...] = SEEDS) -> list[int] | None:
-    """The signed fingerprint by each seed over the distinct words; None without a word."""
-    if not len(words):
-        return None
+def word_fingerprint(words: np.ndarray) -> int:
+    """The signed fingerprint over the distinct words."""
     words = np.unique(words)
-    out = np.array([_majority(sum(_ones(mixed(words[at : at + BLOCK] ^ SALTS[s])) for at in range(0, len(words), BLOCK)), len(words)) for s in seeds], "u8")
-    return out.view("i8").tolist()
+    ones = sum(_ones(mixed(words[at : at + BLOCK] ^ SALTS[SEED])) for at in range(0, len(words), BLOCK))
+    return int(_majority(ones, len(words)).view("i8"))
 
 
 SALTS = mixed(np.arange(1, 1 << 8, dtype=np.uint64))
@@ -151,23 +155,59 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(mixed(out)).view("i8")
 
 
-def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_at: int = 256, rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view("u8") >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all rows of ``texts`` (_t) each cell has; the table has one size for any input."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(1 << CELL_BITS, np.int64)
+        for p in parts:
+            sets = [shingle_set(words) for _, words in document_words(p["_t"].tolist()) if len(words)]
+            if sets:
+                held += np.bincount(_cells(np.concatenate(sets)), minlength=1 << CELL_BITS)
+        for b, x in enumerate(held.reshape(-1, 1 << BLOCK_BITS)):
+            at = np.flatnonzero(x)
+            if len(at):
+                yield pd.DataFrame({"block": [b], "at": [at.astype("<u2").tobytes()], "n": [x[at].astype("<u4").tobytes()]})
+
+    def total(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for p in parts:
+            for b, at, n in zip(p["block"], p["at"], p["n"]):
+                held.setdefault(b, np.zeros(1 << BLOCK_BITS, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+        for b, x in held.items():
+            yield pd.DataFrame({"block": [b], "n": [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes()]})
+
+    blocks = texts.select("_t").mapInPandas(count, "block int, at binary, n binary").repartition("block").mapInPandas(total, "block int, n binary")
+    out = np.zeros((1 << CELL_BITS - BLOCK_BITS, 1 << BLOCK_BITS), "<u4")
+    for b, n in blocks.toLocalIterator():  # at most 64 rows of 64 KB
+        out[b] = np.frombuffer(n, "<u4")
+    return out.reshape(-1)
+
+
+def prefix_length(n: int, share: float) -> int:
+    """How many of ``n`` ordered elements hold one of any ``share`` of them."""
+    return n - math.ceil(n * share - 1e-9) + 1
+
+
+def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_at: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, label) of ``docs`` by their texts.
 
     ``rows`` are the input's: _d, the text's digest, _m, all other columns that have an order, _h, a hash of _m, _t,
-    the text, and _r, the whole row. ``nodes``: a row (id, d, m, h, fps) for each distinct text, m the least _m; ``label``
-    (id, c): the texts that are linked to others, and their component. Two texts are linked only if ``similarity`` of
-    their shingles of five words are common, so texts without a word are linked to equal ones only.
-
-    Candidates are texts of which one of three fingerprints over the distinct words is within ``radius``. A word
-    that differs spoils five shingles but one of the words, so these are closer than those over shingles: pairs at
-    0.8 of the shingles are mostly within four bits of 64.
-
-    A group of thousands of copies isn't compared pair by pair. In each round every bucket has a pivot, in the first
-    one with the commonest fingerprint, which lightly changed copies share with what they were copied from, and its
-    members outside of the pivot's component are compared with it; buckets of one component then drop out. At last buckets that still hold several
-    components compare one member of each with those of all others. So a text meets some members of a large
-    component, not all; one that is near none of these stays by itself.
+    the text, and _r, the whole row. ``nodes``: a row (id, d, m, h, ...) for each distinct text, m the least _m; ``label``
+    (id, c): the texts that are linked to others, and their component. Two texts are linked if, and only if, ``similarity``
+    of their shingles of five words are common; texts without a word are linked to equal ones only.
+
+    Texts whose SimHash fingerprints over the distinct words are linked within ``radius`` are compared with one of them.
+    No link depends on that: all shingles have one order, rare ones first, and texts that have ``similarity`` in
+    common share one of their first ones, in 1 - ``similarity`` of the longer and (1 - ``similarity``) / (1 + ``similarity``) of the
+    shorter. Texts that share a first shingle are compared with the one that has it nearest to its front; where several
+    components share one after that, all pairs across components whose lengths and places allow it are.
+
+    The order goes by a table of counts of fixed size. It decides how many candidates there are, not which links.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -177,13 +217,19 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text").isNull().alias("t"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(by)))
     whole = F.struct(*(F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(docs.columns)))
     rows = docs.select(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("_d"), order.alias("_m"), text.alias("_t"), whole.alias("_r")).withColumn("_h", F.xxhash64("_m"))
+    both_share, apart_share = 2 * similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+    counts = spark.sparkContext.broadcast(shingle_counts(rows))
 
-    @F.pandas_udf("array<long>")
-    def fps(texts: pd.Series) -> pd.Series:
-        out: list = [None] * len(texts)
+    @F.pandas_udf("fp long, n int, bits array<long>, keys array<long>")
+    def features(texts: pd.Series) -> pd.DataFrame:
+        out: list = [(None, None, None, None)] * len(texts)
         for row, words in document_words(texts.tolist()):
-            out[row] = word_fingerprints(words)
-        return pd.Series(out, dtype=object)
+            if len(words):
+                s = shingle_set(words)
+                keys = s[np.lexsort((s, counts.value[_cells(s)]))][: prefix_length(len(s), similarity)]
+                odd = (np.bincount(s & (DIGEST_BITS - 1), minlength=DIGEST_BITS) & 1).astype("u1")
+                out[row] = (word_fingerprint(words), len(s), np.packbits(odd, bitorder="little").view("<i8"), keys)
+        return pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=object) for i, c in enumerate(("fp", "n", "bits", "keys"))})
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
@@ -192,13 +238,17 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
             out[row] = shingle_set(words)
         return pd.Series(out, dtype=object)
 
-    prints = rows.select("_d", "_m", fps("_t").alias("fps"))
-    nodes = prints.groupBy("_d").agg(F.min("_m").alias("m"), F.first("fps").alias("fps"))
-    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("id"), F.col("_d").alias("d"), "m", F.xxhash64("m").alias("h"), "fps"))
+    prints = rows.select("_d", "_m", features("_t").alias("f"))
+    nodes = prints.groupBy("_d").agg(F.min("_m").alias("m"), F.first("f").alias("f"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("id"), F.col("_d").alias("d"), "m", F.xxhash64("m").alias("h"), "f.*"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of near pairs (x, y) those that have shingles enough in common."""
-        pairs = cut(pairs.distinct())
+        """Of pairs (x, y) those that have shingles enough in common."""
+        brief = {s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}")) for s in "xy"}
+        # of bits that say whether a number is odd at least so many shingles are in one text only
+        apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(DIGEST_BITS // 64)), F.lit(0))
+        close = pairs.distinct().join(brief["x"], "x").join(brief["y"], "y").where(apart <= apart_share * (F.col("nx") + F.col("ny")) + 1e-6)
+        pairs = cut(close.select("x", "y"))
         ids = pairs.select("x").union(pairs.select("y")).distinct()
         wanted = nodes.join(ids, nodes.id == ids.x, "left_semi").select("id", "d", "h")
         texts = rows.select("_d", "_h", "_t").join(wanted, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h"))).dropDuplicates(["id"])
@@ -208,46 +258,47 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
         enough = common >= similarity * (F.size("sx") + F.size("sy") - common)
         return cut(both.where(enough).select("x", "y"), pairs, sets)
 
-    masks = covering_masks(radius)
-    each = nodes.select("id", F.posexplode("fps").alias("seed", "fp"))
-    common = each.groupBy("seed", "fp").agg(F.count("*").alias("n"))
-    # what makes a pivot: how many texts have the fingerprint, then a hash
-    weight = F.shiftleft(F.least("n", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64("id"), F.lit(1 << 32))
-    each = each.join(common, ["seed", "fp"]).select("id", "seed", "fp", weight.alias("weight"))
-    spread = each.select("id", "fp", "weight", "seed", F.posexplode(F.array(*map(F.lit, masks))).alias("i", "mask"))
-    # a bucket: a hash of table and key, whose last bits are the table
-    table = F.col("seed") * len(masks) + F.col("i")
-    bucket = F.shiftleft(F.xxhash64(table, F.col("fp").bitwiseAND(F.col("mask"))), TABLE_BITS).bitwiseOR(table.cast("long"))
-    member = spread.select(bucket.alias("b"), "id", "fp", "weight")
-    full = member.groupBy("b").agg(F.count("*").alias("members")).where("members > 1").select("b")
-    member = cut(member.join(full, "b").withColumn("c", F.col("id")))
-
-    links = None
-    for r in range(rounds):
-        by_ = F.col("weight") if r == 0 else F.xxhash64("id", F.lit(r))
-        pivot = member.groupBy("b").agg(*(F.max_by(c, by_).alias(f"p{c}") for c in ("id", "fp", "c")))
-        star = member.join(pivot, "b").where((F.col("c") != F.col("pc")) & _near("fp", "pfp", radius))
-        found = linked(star.select(F.least("id", "pid").alias("x"), F.greatest("id", "pid").alias("y")))
-        links = found if links is None else links.union(found)
-        label = connected_components(links, "x", "y").select(F.col("node").alias("id"), F.col("component").alias("now"))
-        # on go the buckets that still hold several components
-        named = member.join(label, "id", "left").select("b", "id", "fp", "weight", F.coalesce("now", "id").alias("c"))
-        mixed = named.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("b")
-        member = cut(named.join(mixed, "b"), member)
-    # one member of each component in a bucket
-    one = member.groupBy("b", "c").agg(F.min("id").alias("id"), F.min_by("fp", "id").alias("fp"))
-    sizes = one.groupBy("b").agg(F.count("*").alias("members"))
-    rest = cut(one.join(sizes, "b"), member)
-    # large buckets are split once more, by a second family over what the first table left out
-    place = F.col("b").bitwiseAND((1 << TABLE_BITS) - 1).cast("int") % len(masks)
-    mask_of = F.get(F.array(*map(F.lit, masks)), place)
-    finer = F.transform(F.array(*map(F.lit, covering_masks(radius, shift=7))), lambda m, t: F.xxhash64(t, F.col("fp").bitwiseAND(m.bitwiseOR(mask_of))))
-    split = rest.select("b", "id", "fp", "c", F.explode(F.when(F.col("members") > split_at, finer).otherwise(F.array(F.lit(0).cast("long")))).alias("b2"))
-    other = split.select("b", "b2", F.col("id").alias("y"), F.col("fp").alias("fpy"), F.col("c").alias("cy"))
-    # a pair is taken in the first table of its seed that holds both
-    apart = F.col("fp").bitwiseXOR(F.col("fpy"))
-    first = F.array_position(F.transform(F.array(*map(F.lit, masks)), lambda m: apart.bitwiseAND(m) == 0), F.lit(True)) - 1
-    pairs = split.join(other, ["b", "b2"]).where((F.col("c") < F.col("cy")) & _near("fp", "fpy", radius) & (first == place))
+    # texts of one component by fingerprints, with one of them
+    prints = nodes.where("fp is not null").select("id", "fp")
+    alike = near_components(prints, radius, split_at)
+    group = prints.join(alike, prints.fp == alike.v, "left").select("id", F.coalesce("component", "fp").alias("g"))
+    lead = group.groupBy("g").agg(F.min("id").alias("y"), F.count("*").alias("members")).where("members > 1")
+    by_print = group.join(lead, "g").where("id <> y").select(F.col("y").alias("x"), F.col("id").alias("y"))
+
+    # texts that share one of their first shingles, with the one that has it nearest to its front
+    several = nodes.select(F.explode("keys").alias("m")).groupBy("m").agg(F.count("*").alias("members")).where("members > 1").select("m")
+    several = cut(several)
+    held = spark.sparkContext.broadcast(_bit_table(several, several.count()))
+    drop(several)
+
+    @F.pandas_udf("array<int>")
+    def shared(keys: pd.Series) -> pd.Series:
+        """Places of the keys that may be another text's too: the table has a bit of each that is."""
+        table, out = held.value, []
+        for k in keys:
+            bit = np.asarray(k, "i8") & (8 * len(table) - 1)
+            out.append(np.flatnonzero(table[bit >> 3] >> (bit & 7).astype("u1") & 1).astype("i4"))
+        return pd.Series(out, dtype=object)
+
+    member = nodes.where("n is not null").select("id", "n", "keys", F.explode(shared("keys")).alias("pos")).select("id", "n", "pos", F.col("keys")[F.col("pos")].alias("b"))
+    member = cut(member)
+    member = cut(member.join(member.groupBy("b").agg(F.count("*").alias("members")).where("members > 1").select("b"), "b"), member)
+    pivot = member.groupBy("b").agg(F.min_by("id", F.struct("pos", F.xxhash64("id"))).alias("pid"), F.min_by("n", F.struct("pos", F.xxhash64("id"))).alias("pn"))
+    fits = F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-6
+    star = member.join(pivot, "b").where((F.col("id") != F.col("pid")) & fits).select(F.least("id", "pid").alias("x"), F.greatest("id", "pid").alias("y"))
+    links = linked(by_print.union(star))
+
+    # where several components share one, all pairs across them
+    label = connected_components(links, "x", "y").select(F.col("node").alias("id"), "component")
+    named = member.join(label, "id", "left").select("b", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("b")
+    rest = cut(named.join(mixed, "b"), member)
+    short = rest.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * both_share - 1e-9) + 1)
+    short = short.select("b", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
+    longer = (F.col("n") > F.col("ny")) | ((F.col("n") == F.col("ny")) & (F.col("id") > F.col("y")))
+    # the shingles behind the first common one are all that can be common, with it
+    room = F.least(F.col("n") - F.col("pos"), F.col("ny") - F.col("py")) >= both_share / 2 * (F.col("n") + F.col("ny")) - 1e-6
+    pairs = rest.join(short, "b").where((F.col("c") != F.col("cy")) & longer & (F.col("ny") >= similarity * F.col("n") - 1e-6) & room)
     across = linked(pairs.select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")))
     label = connected_components(links.union(across), "x", "y").select(F.col("node").alias("id"), F.col("component").alias("c"))
     return rows, nodes, label
