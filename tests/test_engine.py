@@ -91,3 +91,16 @@ def test_reach_over_many_rounds(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(5, 0), (50, 51), (3, 3), (None, 4), (7, None)], "src long, dst long")
     roots = spark.createDataFrame([(0,), (0,), (60,)], "id long")
     assert sorted(r.id for r in graph.reachable(edges, roots).collect()) == [*range(21), 60]
+
+
+def test_what_rows_become_is_not_broadcast_by_the_size_of_the_input(spark):
+    from pyspark.sql import functions as F
+    from tidewrack.plans import lineage
+
+    few = spark.range(3).select("id", F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("x"))
+    many = lineage.unsized(lineage.cut(few))
+    assert many.count() == 3000
+    assert many.alias("a").join(many.alias("b"), "x").count() == 9000
+    plan = many.join(many.withColumnRenamed("id", "other"), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    lineage.drop(many)
