@@ -346,6 +346,34 @@ def test_keep_first(spark, odd, none):
     assert simhash.keep_first(none).count() == 0
 
 
+def test_keep_first_moves_whole_rows_once(spark, odd):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.keep_first(odd)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plan.count("Exchange hashpartitioning(_d#") == 1
+
+
+def test_release_removes_shuffle_files(spark):
+    import time
+
+    from tidewrack.plans.lineage import release
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    before = shuffles()
+    assert spark.range(1000).repartition(3, "id").count() == 1000
+    new = shuffles() - before
+    for _ in range(20):
+        release(spark)
+        if not new & shuffles():
+            break
+        time.sleep(0.2)
+    assert new and not new & shuffles()
+
+
 def test_keep_first_goes_by_text(spark):
     a, b, c, d = (prose(900 + i, 60) for i in range(4))
     near = " ".join([*a.split()[:-1], "end"])

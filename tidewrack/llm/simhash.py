@@ -31,7 +31,7 @@ from tidewrack.functions.arrow import bound_batches
 from tidewrack.llm.wordhash import document_words, mixed
 from tidewrack.operators.matching import _bit_table
 from tidewrack.plans.components import connected_components
-from tidewrack.plans.lineage import cut, drop
+from tidewrack.plans.lineage import cut, drop, release
 
 #: Shingles that are hashed and counted at a time.
 BLOCK = 1 << 16
@@ -249,14 +249,20 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
         apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(DIGEST_BITS // 64)), F.lit(0))
         close = pairs.distinct().join(brief["x"], "x").join(brief["y"], "y").where(apart <= apart_share * (F.col("nx") + F.col("ny")) + 1e-6)
         pairs = cut(close.select("x", "y"))
+        release(spark)
         ids = pairs.select("x").union(pairs.select("y")).distinct()
         wanted = nodes.join(ids, nodes.id == ids.x, "left_semi").select("id", "d", "h")
-        texts = rows.select("_d", "_h", "_t").join(wanted, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h"))).dropDuplicates(["id"])
-        sets = cut(texts.select("id", shingles("_t").alias("s")))
+        texts = rows.select("_d", "_h", "_t").join(wanted, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")))
+        sets = cut(texts.dropDuplicates(["_d", "_h"]).select("id", shingles("_t").alias("s")))  # by what they were joined by: no text moves again
+        release(spark)
         both = pairs.join(sets.withColumnRenamed("id", "x").withColumnRenamed("s", "sx"), "x").join(sets.withColumnRenamed("id", "y").withColumnRenamed("s", "sy"), "y")
         common = F.size(F.array_intersect("sx", "sy"))
         enough = common >= similarity * (F.size("sx") + F.size("sy") - common)
-        return cut(both.where(enough).select("x", "y"), pairs, sets)
+        out = cut(both.where(enough).select("x", "y"), pairs, sets)
+        release(spark)
+        return out
+
+    release(spark)
 
     # texts of one component by fingerprints, with one of them
     prints = nodes.where("fp is not null").select("id", "fp")
@@ -315,6 +321,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     rows, nodes, label = near_texts(docs, similarity)
     of = nodes.join(label, "id", "left").groupBy(F.coalesce("c", F.col("id")).alias("c"))
     first = of.agg(F.min(F.struct("m", "d")).alias("x")).select("x.m", "x.d", F.xxhash64("x.m").alias("h"))
-    same = (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")) & F.col("_m").eqNullSafe(F.col("m"))
+    # dealt by digest and hash alone, as duplicates are dropped by these: no row moves twice
+    same = (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")) & F.col("_m").between(F.col("m"), F.col("m"))
     kept = rows.join(first, same, "left_semi").dropDuplicates(["_d", "_h"])
     return kept.select(*(F.col(f"_r.r{i}").alias(c) for i, c in enumerate(docs.columns)))
