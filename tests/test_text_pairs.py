@@ -58,3 +58,36 @@ def test_line_starts_as_plain_python(spark):
             want.append((i, j, first, n))
             first += n
     assert sorted(map(tuple, tokens.line_starts(docs).collect())) == want
+
+
+def test_overlaps_go_in_greedy_order(spark):
+    from tidewrack.operators.clusters import without_overlaps
+
+    r = random.Random(5)
+    rows = list({(r.randrange(40), f"d{r.randrange(3)}", r.randrange(60), r.randrange(1, 20)) for _ in range(1500)} | {(99, "d0", 0, 5), (99, "d0", 2, 4)})
+    kept = set()
+    for group in {x[:2] for x in rows}:
+        mine = []
+        for x in sorted((x for x in rows if x[:2] == group), key=lambda x: (-x[3], x[2])):
+            if all(x[2] >= y[2] + y[3] or y[2] >= x[2] + x[3] for y in mine):
+                mine.append(x)
+        kept |= set(mine)
+    kept = {x for x in kept if sum(x[0] == y[0] for y in kept) > 1}
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups go over the ends of batches
+    try:
+        got = without_overlaps(spark.createDataFrame(rows, "cluster long, doc_id string, start int, n_tokens int"))
+        assert {tuple(x) for x in got.collect()} == kept
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def test_a_group_of_spans_costs_no_python_call(spark, monkeypatch):
+    """A million groups of a span each took longer than the rest of the query."""
+    from tidewrack.operators import clusters
+
+    plans = []
+    monkeypatch.setattr(clusters, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df, raising=False)
+    found = clusters.without_overlaps(spark.createDataFrame([(1, 1, 0, 5), (1, 2, 0, 5)], "cluster long, doc_id long, start int, n_tokens int"))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString() + "".join(plans)
+    assert found.count() == 2
