@@ -278,6 +278,15 @@ def test_drawn():
     assert set(both[neighbours._drawn(owner[both], member[both], 7, 24)]) == set(kept)  # in any number of steps
 
 
+def test_few_rows_are_worked_on_together():
+    import pyarrow as pa
+
+    seen = []
+    run = neighbours._keyed("k", lambda t: seen.append(t.num_rows) or [])
+    list(run(pa.record_batch([pa.array(range(i, i + 1000))], ["k"]) for i in range(0, 30_000, 1000)))
+    assert sum(seen) == 30_000 and max(seen) <= 6_000
+
+
 def test_mixed_lengths(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.9, 0.1]), (40, [1.0, 2.0, 3.0]), (2, [9.0]), (60, [7.0])]
     got = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()

@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.functions.arrow import bound_batches
 from tidewrack.llm.wordhash import mixed
-from tidewrack.plans.lineage import cut
+from tidewrack.plans.lineage import cut, release
 
-CHUNK = 20_000
+#: Rows that a task works on together, about: of lists, each has some dozens of entries, and every two may be offered.
+CHUNK = 5_000
 
 
 def usable(vec: Column) -> Column:
@@ -137,6 +139,7 @@ class NeighbourIndex:
 
     def __init__(self, vectors: DataFrame, k: int = 48, reverse: int = 24, trees: int = 10, leaf: int = 512, rounds: int = 3, copies: int = 21, seed: int = 1):
         self.spark = vectors.sparkSession
+        bound_batches(self.spark)
         self.k, self.reverse, self.trees, self.leaf, self.rounds, self.seed = k, reverse, trees, leaf, rounds, seed
         rows = vectors.where(usable(F.col("vec")) & F.col("vec_id").isNotNull()).select("vec_id", "vec")
         rank = Window.partitionBy("vec").orderBy("vec_id")
@@ -181,6 +184,7 @@ class NeighbourIndex:
         graph = cut(self._merged(self._blocks(), None))
         for i in range(self.rounds):
             graph = cut(self._merged(self._offers(graph, i), graph), graph)
+            release(self.spark)
         return graph
 
     def _merged(self, offers: DataFrame, graph: DataFrame | None) -> DataFrame:
@@ -259,7 +263,7 @@ class NeighbourIndex:
                 owner = np.repeat(b.column(0).to_numpy(), n // NEIGHBOUR.itemsize)
                 yield rows(owner, got["id"], got["new"], False)
                 held = [np.concatenate(x) for x in zip(held, (got["id"], owner, got["new"]))]
-                if len(held[0]) > 50 * CHUNK:
+                if len(held[0]) > 100 * CHUNK:
                     kept = _drawn(held[0], held[1], seed, most)
                     held = [x[kept] for x in held]
             kept = _drawn(held[0], held[1], seed, most)
@@ -321,6 +325,7 @@ class NeighbourIndex:
         ended: list[DataFrame] = []
         while True:
             state = cut(self._hop(state, width, expand, settled, None if ended else entries))
+            release(self.spark)
             ended.append(state.where("not open"))
             state = state.where("open")
             if state.isEmpty():
