@@ -46,6 +46,21 @@ def test_rows_are_kept_only_of_what_is_common(spark):
     assert got == [(2, 0, 3000 - 39, 2)]
 
 
+def test_texts_without_copies_are_not_moved(spark, monkeypatch):
+    """They were all dealt out anew and written once more, which took more disk than the pairs."""
+    held = []
+    written = matching.written
+    monkeypatch.setattr(matching, "written", lambda df, path: held.append(written(df, path)) or held[-1].persist())
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(300)]
+    texts += [texts[5], " ".join(texts[9].split()[:50] + texts[8].split()[:50])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = sorted(tuple(x) for x in matching.text_clone_pairs(docs, 40).select(*COLUMNS).collect())
+    assert pairs == [(5, 0, 300, 0, 60), (8, 0, 301, 50, 50), (9, 0, 301, 0, 50)]
+    (kept,) = held
+    assert kept.count() < 10 and [5, 300] in [sorted(x.docs) for x in kept.collect()]
+
+
 def test_line_starts_as_plain_python(spark):
     texts = odd_texts(6)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
