@@ -276,6 +276,7 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
     several = cut(several)
     held = spark.sparkContext.broadcast(_bit_table(several, several.count()))
     drop(several)
+    release(spark)
 
     @F.pandas_udf("array<int>")
     def shared(keys: pd.Series) -> pd.Series:
@@ -289,6 +290,7 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
     member = nodes.where("n is not null").select("id", "n", "keys", F.explode(shared("keys")).alias("pos")).select("id", "n", "pos", F.col("keys")[F.col("pos")].alias("b"))
     member = cut(member)
     member = cut(member.join(member.groupBy("b").agg(F.count("*").alias("members")).where("members > 1").select("b"), "b"), member)
+    release(spark)
     pivot = member.groupBy("b").agg(F.min_by("id", F.struct("pos", F.xxhash64("id"))).alias("pid"), F.min_by("n", F.struct("pos", F.xxhash64("id"))).alias("pn"))
     fits = F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-6
     star = member.join(pivot, "b").where((F.col("id") != F.col("pid")) & fits).select(F.least("id", "pid").alias("x"), F.greatest("id", "pid").alias("y"))
@@ -299,6 +301,7 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 4, split_
     named = member.join(label, "id", "left").select("b", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("b")
     rest = cut(named.join(mixed, "b"), member)
+    release(spark)
     short = rest.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * both_share - 1e-9) + 1)
     short = short.select("b", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
     longer = (F.col("n") > F.col("ny")) | ((F.col("n") == F.col("ny")) & (F.col("id") > F.col("y")))
