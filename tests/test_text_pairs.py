@@ -106,3 +106,31 @@ def test_a_group_of_spans_costs_no_python_call(spark, monkeypatch):
     found = clusters.without_overlaps(spark.createDataFrame([(1, 1, 0, 5), (1, 2, 0, 5)], "cluster long, doc_id long, start int, n_tokens int"))
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString() + "".join(plans)
     assert found.count() == 2
+
+
+@pytest.mark.parametrize("seed, k", [(1, 5), (3, 8)])
+def test_spans_of_texts_as_of_all_kgrams(spark, seed, k):
+    """No k-gram is too frequent, copies of a text aren't paired, and the spans are those of all pairs."""
+    from tidewrack.operators import clusters
+
+    docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(odd_texts(seed))], "doc_id long, text string")
+    every = matching.maximal_pairs(matching.clone_pairs(tokens.kgrams(docs, k), k, None).localCheckpoint())
+    want = {tuple(x) for x in clusters.without_overlaps(clusters.spans(every.localCheckpoint())).select("doc_id", "start", "n_tokens").collect()}
+    got = [tuple(x) for x in clusters.whole_without_overlaps(docs, k).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_a_passage_of_more_than_fifty_texts_is_a_cluster(spark, tmp_path):
+    """A cap of 50 dropped it; the SQL says the same."""
+    import duckdb
+
+    from tidewrack import catalogue
+
+    shared = " ".join(f"same{i}" for i in range(45))
+    rows = [(i, f"left{i} {shared} right{i}") for i in range(60)] + [(60 + i, f"twice {shared}") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, catalogue.QUERIES["span_clusters_without_overlaps"](spark, str(tmp_path)).collect()))
+    assert got == sorted([(i, 1, 45) for i in range(63)] + [(60 + i, 0, 46) for i in range(3)])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalogue.ORACLES["span_clusters_without_overlaps"]).fetchall())
