@@ -66,3 +66,12 @@ def test_detect_inserted_statement(spark):
     assert sorted(r.path for r in report.instances.collect()) == ["a.dart", "b.dart"]
     only = detect(files.from_memory(spark, {"a.dart": one, "b.dart": two}), DedupeOptions(70, 4, bucket="identical"))
     assert only.clusters.count() == 0
+
+
+def test_clones_of_more_than_fifty_files_are_a_cluster(spark, tmp_path):
+    """A cap of 50 in the query and its SQL left them out."""
+    from tidewrack import catalogue, catalogue_code  # noqa: F401
+
+    spark.createDataFrame([(i, i // 60) for i in range(62)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = sorted(map(tuple, catalogue.QUERIES["dart_clone_clusters"](spark, str(tmp_path)).collect()))
+    assert got == [(0, 60, "identical", "logic"), (1, 2, "identical", "logic")]
