@@ -75,3 +75,15 @@ def test_bad_requests(got):
 def test_signature_fields():
     assert signature("f", [], [("a", "int"), ("_a", "int"), ("a2", "int"), ("_", "bool")]) == "({int a, int a2, int a22, bool result}) f()"
     assert signature("f", [("x", "T")], [], True, ["T"]) == "Future<void> f<T>(T x) async"
+
+
+def test_facts_are_not_broadcast_by_a_guessed_size(spark, tmp_path):
+    """Spark took the events of many functions for little more than the requests, and sent them through the driver."""
+    from tidewrack.sources import slices
+
+    rows = [("1", "int f(int a) {\n  var b = a;\n  print(b);\n  return b;\n}\n", 2, 3)]
+    spark.createDataFrame(rows, "unit string, source string, start_line int, end_line int").write.parquet(str(tmp_path / "requests"))
+    report = slices.analyze(spark.read.parquet(str(tmp_path / "requests")))
+    for part in (report.units, report.inputs, report.outputs, report.mutations):
+        assert "BroadcastHashJoin" not in part._jdf.queryExecution().executedPlan().toString()
+    assert [r.name for r in report.inputs.collect()] == ["a"]
